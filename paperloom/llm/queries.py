@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontaminate, sharding, simhash
+from paperloom.llm import decontaminate, sharding, simhash, tokenfiles
 from paperloom.llm.common import table
 
+#: The vocabularies' places; parameters of the operators.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_documents(table(spark, sf_dir, "documents"))
@@ -18,6 +23,10 @@ def op5_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_report(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
 def op10_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_permutation_sharding,
         op5_simhash_links,
+        op9_token_files,
         op10_benchmark_hits,
     )
 }
