@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontaminate, sharding, simhash, tokenfiles
+from paperloom.llm import decontaminate, pieces, sharding, simhash, tokenfiles
 from paperloom.llm.common import table
 
 #: The vocabularies' places; parameters of the operators.
@@ -19,6 +19,10 @@ def op1_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_report(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op5_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_permutation_sharding,
+        op2_merge_dropout,
         op5_simhash_links,
         op9_token_files,
         op10_benchmark_hits,
