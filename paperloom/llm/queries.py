@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontaminate, pieces, repeats, sharding, simhash, tokenfiles
+from paperloom.llm import decontaminate, pieces, quality, repeats, sharding, simhash, tokenfiles
 from paperloom.llm.common import table
 
 #: The vocabularies' places; parameters of the operators.
@@ -27,6 +27,10 @@ def op5_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.unit_report(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_permutation_sharding,
         op2_merge_dropout,
         op5_simhash_links,
+        op6_ordinal_quality,
         op7_repeated_units,
         op9_token_files,
         op10_benchmark_hits,
