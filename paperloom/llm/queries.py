@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontaminate, pieces, quality, repeats, sharding, simhash, tokenfiles
+from paperloom.llm import decontaminate, pieces, quality, repeats, sharding, simhash, tokenfiles, webtext, winnow
 from paperloom.llm.common import table
 
 #: The vocabularies' places; parameters of the operators.
@@ -23,6 +23,10 @@ def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_report(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op7_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.unit_report(table(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_report(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -48,9 +56,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_permutation_sharding,
         op2_merge_dropout,
+        op3_winnowing,
         op5_simhash_links,
         op6_ordinal_quality,
         op7_repeated_units,
+        op8_main_text,
         op9_token_files,
         op10_benchmark_hits,
     )
