@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from paperloom.llm.common import chunks, list_array, mix, raw
 
 DROPOUT, SEED = 0.1, 17
+#: Bytes of text that a batch step takes: its matrices have some thirty times that.
+STEP_BYTES = 1 << 20
 #: Symbols up to which words go through the agenda in step; longer ones take the heap.
 IN_STEP = 24
 SPACE = "▁"
@@ -252,8 +254,8 @@ def encode_chunk(model: PieceModel, data: np.ndarray, at: np.ndarray, doc_keys:
     for m in np.unique(sizes[~alone]).tolist():
         rows = np.flatnonzero((sizes == m) & ~alone)
         if m <= IN_STEP:
-            for a in range(0, len(rows), 1 << 16):
-                some = rows[a : a + (1 << 16)]
+            for a in range(0, len(rows), 1 << 14):
+                some = rows[a : a + (1 << 14)]
                 left, count = merge_in_step(model, ids[begins[some][:, None] + np.arange(m)], keys[some], limit)
                 counts[some] = count
                 results.append((some, left))
@@ -308,7 +310,7 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(path)
-        for batch in chunks(batches, f"c{at_text}"):
+        for batch in chunks(batches, f"c{at_text}", STEP_BYTES):
             column = batch.column(at_text)
             data, at = raw(column)
             ids, offsets = encode_chunk(model, data, at, doc_keys(batch.column(at_id), seed), limit)

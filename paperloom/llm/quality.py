@@ -32,7 +32,7 @@ SIZE, FIT_ROWS = 1 << 18, 7_000
 LEAST_DOCS, PENALTY, STEPS, SCALE = 20, 2e-4, 100, 2.0
 #: Grades: 0 toxic, 1 of low quality, 2 good. Documents go unless P(grade >= 2) is at least a half.
 GRADES, SELECT_GRADE, LEAST_PROBABILITY = 3, 2, 0.5
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 100_000
 OUTER = ".,;:!?\"'()[]*#$%&|"
 RUNS = re.compile(r"(.)\1+")
 KINDS = 4
