@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontaminate, pieces, quality, repeats, sharding, simhash, tokenfiles, webtext, winnow
+from paperloom.llm import decontaminate, pieces, quality, repeats, sharding, simhash, suffixes, tokenfiles, webtext, winnow
 from paperloom.llm.common import table
 
 #: The vocabularies' places; parameters of the operators.
@@ -27,6 +27,10 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_report(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_permutation_sharding,
         op2_merge_dropout,
         op3_winnowing,
+        op4_suffix_dedup,
         op5_simhash_links,
         op6_ordinal_quality,
         op7_repeated_units,
