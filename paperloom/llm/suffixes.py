@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,14 @@ SAMPLE_DOCS = 400
 FLAG = np.uint32(1 << 31)
 
 
+def _pack(data: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(positions, hashes, first, last): window starts first..last have the anchor; none in short texts."""
     n = len(data) - length + 1
@@ -137,21 +146,20 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         held, tagged = h[first][order], (place[first].astype(np.uint32) | flags)[order]
-        planes = np.ascontiguousarray(held.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 3:]
+        planes = np.ascontiguousarray(held.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 4:]
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             x, y = cuts[b], cuts[b + 1]
             spots = tagged[x:y].astype("<u4").view(np.uint8).reshape(-1, 4)
-            rows.append((b, chunk, np.ascontiguousarray(np.concatenate([planes[x:y], spots], 1).T).tobytes(), [], None, None))
+            rows.append((b, chunk, _pack(np.ascontiguousarray(np.concatenate([planes[x:y], spots], 1).T)), [], None, None))
         yield _sent(rows)
 
 
 def _answer_bucket(held: list[tuple[int, bytes]]) -> Iterator[tuple]:
-    planes = [np.frombuffer(p, np.uint8).reshape(9, -1).T for _, p in held]
+    planes = [np.frombuffer(_unpack(p), np.uint8).reshape(8, -1).T for _, p in held]
     sizes = [len(p) for p in planes]
     every = np.concatenate(planes)
-    wide = np.zeros((len(every), 8), np.uint8)
-    wide[:, :5] = every[:, :5]
-    codes, spots = wide.view("<u8").ravel(), np.ascontiguousarray(every[:, 5:]).view("<u4").ravel()
+    # four bytes of each hash: in a bucket of bounded size few others share them, and those are told apart later
+    codes, spots = (np.ascontiguousarray(every[:, k : k + 4]).view("<u4").ravel() for k in (0, 4))
     _, inverse, counts = np.unique(codes, return_inverse=True, return_counts=True)
     shared = (counts[inverse] > 1) & (spots & FLAG == 0)
     first = 0
@@ -211,7 +219,7 @@ def _strings(rows: list[tuple]) -> pa.RecordBatch:
 def _packed(bucket: int, entries: list[tuple], done: bool) -> tuple:
     ids, ties, starts, places, strings = zip(*entries, strict=True)
     sizes = [len(s) if isinstance(s, bytes) else s for s in strings]
-    return (bucket, np.array(ids, "<i8").tobytes(), np.array(ties, "<i8").tobytes(), np.array(starts, "<u4").tobytes(), np.array(places, "<u2").tobytes(), np.array(sizes, "<u4").tobytes(), b"" if done else b"".join(strings), done)
+    return (bucket, np.array(ids, "<i8").tobytes(), np.array(ties, "<i8").tobytes(), np.array(starts, "<u4").tobytes(), np.array(places, "<u2").tobytes(), np.array(sizes, "<u4").tobytes(), b"" if done else _pack(b"".join(strings)), done)
 
 
 def _send_strings(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, subs: int) -> Iterator[pa.RecordBatch]:
@@ -255,7 +263,7 @@ def _settle(rows: list[dict]) -> dict[tuple[int, int], list[int]]:
         return np.concatenate([np.frombuffer(r[name], kind) for r in rows])
 
     ids, ties, starts, places, sizes = column("doc_ids", "<i8"), column("ties", "<i8"), column("starts", "<u4"), column("anchors", "<u2"), column("sizes", "<u4").astype(np.int64)
-    held = b"".join(r["strings"] for r in rows)
+    held = b"".join(_unpack(r["strings"]) for r in rows)
     ends = np.cumsum(sizes)
     begins = ends - sizes
     data = np.frombuffer(held, np.uint8)
@@ -365,7 +373,9 @@ def removed(docs: DataFrame) -> DataFrame:
     strings = met.mapInArrow(lambda it: _send_strings(it, splitters.value, subs), STRINGS)
     lost = strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle_strings, REMOVED)
     lost = lost.groupBy("r_id", "r_tie").agg(F.collect_list("spans").alias("spans"))
-    return plain.join(lost, (F.col("doc_id") == F.col("r_id")) & (F.col("tie") == F.col("r_tie")), "left").select("doc_id", "text", "spans")
+    # the same exchange of ``known`` by (doc_id, tie) as above, which Spark runs once
+    cut = known.join(lost, (F.col("doc_id") == F.col("r_id")) & (F.col("tie") == F.col("r_tie")), "left").select("doc_id", "text", "spans")
+    return cut.unionByName(plain.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans")))
 
 
 def suffix_report(docs: DataFrame) -> DataFrame:
