@@ -12,7 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step of an Arrow function works on; bounds a worker's memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: For steps that gain by meeting the same words or strings again.
+LARGE_CHUNK = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

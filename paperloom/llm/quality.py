@@ -27,7 +27,7 @@ from paperloom.llm.common import chunks, raw, words
 from paperloom.llm.tokenfiles import SPACES
 
 #: Hashed features; labelled rows that the model is fitted on (those of least hash of their id).
-SIZE, FIT_ROWS = 1 << 18, 7_000
+SIZE, FIT_ROWS = 1 << 18, 6_000
 #: Documents a feature must be in to count, the penalty, most steps of the fit, and the features' scale.
 LEAST_DOCS, PENALTY, STEPS, SCALE = 20, 2e-4, 100, 2.0
 #: Grades: 0 toxic, 1 of low quality, 2 good. Documents go unless P(grade >= 2) is at least a half.

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import chunks, mix, raw
+from paperloom.llm.common import LARGE_CHUNK, chunks, mix, raw
 from paperloom.llm.winnow import BASE
 
 LENGTH, GRAM = 50, 24
@@ -123,7 +123,7 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, most=LARGE_CHUNK):
         data, at = raw(batch.column(1))
         places, hashes = [], []
         for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
@@ -224,7 +224,7 @@ def _packed(bucket: int, entries: list[tuple], done: bool) -> tuple:
 
 def _send_strings(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, subs: int) -> Iterator[pa.RecordBatch]:
     """batch: doc_id, text, tie, spots. A string seen in the chunk under a smaller id is done."""
-    for batch in chunks(batches):
+    for batch in chunks(batches, most=LARGE_CHUNK):
         data, at = raw(batch.column(1))
         ids, ties, spots = (batch.column(k).to_pylist() for k in (0, 2, 3))
         seen: dict[bytes, int] = {}

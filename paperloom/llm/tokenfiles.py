@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import chunks, raw, shared_path, words
+from paperloom.llm.common import LARGE_CHUNK, chunks, raw, shared_path, words
 
 END_ID = 1
 #: Documents in a block of consecutive ids (more if there would be over MOST_BLOCKS blocks).
@@ -216,7 +216,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=LARGE_CHUNK):
             data, at = raw(batch.column(2))
             ids, offsets = encode_chunk(coder, data, at, end_id)
             wide = pa.array((offsets * coder.kind.itemsize).astype(np.int32))
