@@ -355,7 +355,9 @@ def removed(docs: DataFrame) -> DataFrame:
     each other. Texts under LENGTH bytes and empty tables are as they are.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    # no cast where none is needed: it would set the two uses of ``known`` apart, and both be shuffled
+    doc_id = "doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("bigint").alias("doc_id")
+    plain = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     total = plain.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
     ranges = min(buckets, MOST_RANGES)
