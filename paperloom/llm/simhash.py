@@ -124,7 +124,7 @@ def allocated(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 def planned(sample: np.ndarray, n: int, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """Partitions and their thresholds for n distinct fingerprints, the cheapest of those tried."""
-    bits, best = bits_of(sample), None
+    bits, best, n = bits_of(sample), None, max(1, n)  # of none all plans would cost the same, huge ones too
     pairs = max(1.0, len(sample) * (len(sample) - 1) / 2)
     for parts in range(1, radius + 2):
         groups = grouped_bits(sample, parts)
@@ -232,10 +232,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def linked(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits), component_id, n_links.
+    """Per document: doc_id, fingerprint (16 hex digits), component_id.
 
-    component_id is the least doc_id that links reach; n_links counts the links of the document's
-    fingerprint to other fingerprints that were kept. Rows with a null id count in no minimum; a
+    component_id is the least doc_id that links reach. Rows with a null id count in no minimum; a
     component of such rows only has a null id. Null and wordless texts have fingerprint zero and
     link like any other; repeated rows stay.
     """
