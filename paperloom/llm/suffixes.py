@@ -11,7 +11,7 @@ anchors are compared, and with them the strings around that share the anchor.
    quicksort over eight-byte characters. Splitters are as long as one such character and equal
    characters go one way, so no match lies across a boundary; strings whose right or left parts
    differ are compared one by one. The least doc_id of each string keeps it.
-3. Each document's spans are united and cut.
+3. Each document's spans are united and cut. They travel packed by parts of the documents.
 
 What repeats inside a chunk is settled there: a string that a third of all documents hold is sent
 once a chunk.
@@ -37,6 +37,8 @@ LENGTH, GRAM = 50, 24
 BUCKET_BYTES, MOST_RANGES = 8 << 20, 4096
 #: Documents whose anchors the splitters are taken from.
 SAMPLE_DOCS = 400
+#: Parts of the documents, for each shuffle partition, whose spans are united at once.
+PARTS = 4
 FLAG = np.uint32(1 << 31)
 
 
@@ -243,18 +245,55 @@ def _send_strings(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, subs
                 else:
                     sent.setdefault(to, []).append((ids[k], ties[k], a, q - a, string))
         rows = [_packed(to, entries, False) for to, entries in sent.items()]
-        if done:
-            rows.append(_packed(0, done, True))
+        if done:  # settled already: any bucket passes it on
+            rows.append(_packed(int(mix(np.array([done[0][0]]))[0] % np.uint64((len(splitters) + 1) * subs)), done, True))
         if rows:
             yield _strings(rows)
 
 
-REMOVED = "r_id bigint, r_tie bigint, spans binary"
+REMOVED = "part int, r_ids binary, r_ties binary, counts binary, spans binary"
+REMOVED_NAMES = [x.split()[0] for x in REMOVED.split(", ")]
 
 
-def _spans(found: dict[tuple[int, int], list[int]]) -> pa.RecordBatch:
+def _spans(found: dict[tuple[int, int], list[int]], parts: int) -> pa.RecordBatch:
+    """The spans of many documents, packed in one row for each part of the documents."""
     keys = list(found)
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([t for _, t in keys], pa.int64()), pa.array([np.array(found[k], "<u4").tobytes() for k in keys], pa.binary())], names=["r_id", "r_tie", "spans"])
+    pair = np.array(keys, np.int64).reshape(-1, 2)
+    part = (mix(pair[:, 0] ^ pair[:, 1]) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
+    rows = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own = order[a:b]
+        spans = [np.array(found[keys[k]], "<u4") for k in own.tolist()]
+        counts = np.array([len(x) for x in spans], "<u4")
+        rows.append((int(part[own[0]]), pair[own, 0].astype("<i8").tobytes(), pair[own, 1].astype("<i8").tobytes(), counts.tobytes(), np.concatenate(spans).tobytes()))
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=REMOVED_NAMES)
+
+
+def _unite_part(rows: list[dict]) -> pa.RecordBatch:
+    ids, ties, counts = (np.concatenate([np.frombuffer(r[name], kind) for r in rows]) for name, kind in (("r_ids", "<i8"), ("r_ties", "<i8"), ("counts", "<u4")))
+    ends = np.cumsum(counts.astype(np.int64))
+    every = np.concatenate([np.frombuffer(r["spans"], "<u4") for r in rows])
+    found: dict[tuple[int, int], list[bytes]] = {}
+    for i, t, a, b in zip(ids.tolist(), ties.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+        found.setdefault((i, t), []).append(every[a:b].tobytes())
+    held = [[np.array(united(x), "<u4").tobytes()] for x in found.values()]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64()), pa.array(held, pa.list_(pa.binary()))], names=["r_id", "r_tie", "spans"])
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["part"] != now and held:
+                yield _unite_part(held)
+                held = []
+            now = row["part"]
+            held.append(row)
+    if held:
+        yield _unite_part(held)
 
 
 def _settle(rows: list[dict]) -> dict[tuple[int, int], list[int]]:
@@ -303,23 +342,23 @@ def _settle(rows: list[dict]) -> dict[tuple[int, int], list[int]]:
     return lost
 
 
-def _settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle_strings(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     now, held = None, []
     for bucket, row in _by_bucket(batches):
         if bucket != now:
             if held and (lost := _settle(held)):
-                yield _spans(lost)
+                yield _spans(lost, parts)
             now, held = bucket, []
         if row["done"]:
             ids, ties, starts, sizes = (np.frombuffer(row[k], x).tolist() for k, x in (("doc_ids", "<i8"), ("ties", "<i8"), ("starts", "<u4"), ("sizes", "<u4")))
             lost = {}
             for a, b, s, n in zip(ids, ties, starts, sizes, strict=True):
                 lost.setdefault((a, b), []).extend((s, s + n))
-            yield _spans(lost)
+            yield _spans(lost, parts)
         else:
             held.append(row)
     if held and (lost := _settle(held)):
-        yield _spans(lost)
+        yield _spans(lost, parts)
 
 
 # --- 3: what is left -----------------------------------------------------------------------------
@@ -373,8 +412,8 @@ def removed(docs: DataFrame) -> DataFrame:
     spots = spots.dropDuplicates(["a_id", "a_tie"])
     met = known.join(spots, (F.col("doc_id") == F.col("a_id")) & (F.col("tie") == F.col("a_tie"))).select("doc_id", "text", "tie", "spots")
     strings = met.mapInArrow(lambda it: _send_strings(it, splitters.value, subs), STRINGS)
-    lost = strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle_strings, REMOVED)
-    lost = lost.groupBy("r_id", "r_tie").agg(F.collect_list("spans").alias("spans"))
+    lost = strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _settle_strings(it, parts * PARTS), REMOVED)
+    lost = lost.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_unite, "r_id bigint, r_tie bigint, spans array<binary>")
     # the same exchange of ``known`` by (doc_id, tie) as above, which Spark runs once
     cut = known.join(lost, (F.col("doc_id") == F.col("r_id")) & (F.col("tie") == F.col("r_tie")), "left").select("doc_id", "text", "spans")
     return cut.unionByName(plain.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans")))
