@@ -1,10 +1,16 @@
 """Substring dedup by unit hashing: repeated lines and sentences go, the earliest stays.
 
-A unit is a line, or with ``unit="sentence"`` a run of sentences of a line that has at least
+By default (``unit="all"``) units are lines of any word count, paragraphs of several lines, and runs
+of neighbouring sentences of a line that just reach ``least_words`` words, from each sentence onwards
+and back; sentences of over ``LONG`` words are also cut at word boundaries that the words before them
+choose, and runs of those parts are units. Units overlap, and none depends on the text around it; what
+is removed is their union. A unit that overlaps the kept one in its own document stays.
+
+With the other kinds units don't overlap. A unit is a line, or with ``unit="sentence"`` a run of sentences of a line that has at least
 ``least_words`` words (a shorter sentence is joined to what follows; what is left at the line's end
 is a unit of its own). With ``unit="paragraph"`` units end at blank lines. Units are normalised
-(lower case, white space runs as one space, trimmed) and hashed to 128 bits. Of equal units of at
-least ``least_words`` words the one with the least (doc_id, position) is kept, over all documents.
+(lower case, white space runs as one space, trimmed) and hashed to 128 bits. Of equal units
+(of at least ``least_words`` words, lines of ``all`` apart) the one with the least (doc_id, position) is kept, over all documents.
 """
 
 from __future__ import annotations
@@ -24,7 +30,10 @@ LEAST_WORDS = 6
 LINE = re.compile(r"[^\n]*\n|[^\n]+\Z")
 PARAGRAPH = re.compile(r"(?:[^\n]|\n(?![^\S\n]*\n))*(?:\n(?:[^\S\n]*\n)+|\n\Z|\Z)")
 SENTENCE = re.compile(r".*?(?:[.!?。！？]+(?:\s+|\Z)|\Z)", re.DOTALL)
+WORD = re.compile(r"\S+")
 UNITS = ("line", "sentence", "paragraph")
+#: A sentence of more words has further cuts, after one word in CUT; its units have at least twice the least words.
+LONG, CUT = 24, 8
 
 
 def units(text: str, unit: str = "sentence", least_words: int = LEAST_WORDS) -> list[tuple[int, int, str, int]]:
@@ -46,46 +55,108 @@ def units(text: str, unit: str = "sentence", least_words: int = LEAST_WORDS) ->
     return out
 
 
+def _runs(parts: list[tuple[int, int, list[str]]], least: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of the shortest runs of parts with ``least`` words, onwards and back from each part."""
+    sizes = [len(ws) for _, _, ws in parts]
+    spans, last, held = set(), 0, 0
+    for first in range(len(parts)):
+        while last < len(parts) and held < least:
+            held += sizes[last]
+            last += 1
+        if held < least:
+            break
+        spans.add((first, last))
+        held -= sizes[first]
+    first, held = len(parts), 0
+    for last in range(len(parts), 0, -1):
+        while first > 0 and held < least:
+            first -= 1
+            held += sizes[first]
+        if held < least:
+            break
+        spans.add((first, last))
+        held -= sizes[last - 1]
+    for a, b in spans:
+        yield parts[a][0], parts[b - 1][1], [w for _, _, ws in parts[a:b] for w in ws]
+
+
+def _cut(text: str, start: int, end: int) -> list[tuple[int, int, list[str]]]:
+    """A long sentence's parts: it is cut after a word if the hash of it and the two before it says so."""
+    spans = [m.span() for m in WORD.finditer(text, start, end)]
+    ws = [text[a:b].lower() for a, b in spans]
+    out, first = [], 0
+    for k in range(len(ws)):
+        if k + 1 == len(ws) or k > 1 and xxhash.xxh3_64_intdigest(" ".join(ws[k - 2 : k + 1]).encode("utf-8", "surrogatepass")) % CUT == 0:
+            out.append((spans[first][0], spans[k + 1][0] if k + 1 < len(ws) else end, ws[first : k + 1]))
+            first = k + 1
+    return out
+
+
+def all_units(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, str]]:
+    """(start, end, normalised unit) of lines, paragraphs and runs of sentences; they overlap."""
+    out: set[tuple[int, int, str]] = set()
+    for m in LINE.finditer(text):
+        ws = m[0].lower().split()
+        if not ws:
+            continue
+        out.add((m.start(), m.end(), " ".join(ws)))
+        parts = [(s.start(), s.end(), s[0].lower().split()) for s in SENTENCE.finditer(text, m.start(), m.end()) if s.end() > s.start()]
+        out.update((a, b, " ".join(held)) for a, b, held in _runs(parts, least_words))
+        for a, b, held in parts:
+            if len(held) > LONG:
+                out.update((c, d, " ".join(x)) for c, d, x in _runs(_cut(text, a, b), 2 * least_words))
+    for m in PARAGRAPH.finditer(text):
+        if "\n" in m[0].strip() and len(ws := m[0].lower().split()) >= least_words:
+            out.add((m.start(), m.end(), " ".join(ws)))
+    return sorted(out)
+
+
+def counted(text: str, unit: str, least_words: int) -> list[tuple[int, int, str]]:
+    """(start, end, normalised unit) of the units that count."""
+    if unit == "all":
+        return all_units(text, least_words)
+    return [(a, b, held) for a, b, held, n in units(text, unit, least_words) if n >= least_words]
+
+
 def _digest(unit: str) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass"))
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def unit_table(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
+def unit_table(docs: DataFrame, unit: str = "all", least_words: int = LEAST_WORDS) -> DataFrame:
     """The units that count: h1, h2 (digest), doc_id, at, to (offsets in code points)."""
-    if unit not in UNITS:
-        raise ValueError(f"unit is one of {UNITS}")
+    if unit not in ("all", *UNITS):
+        raise ValueError(f"unit is all or one of {UNITS}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             h1, h2, ids, at, to = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a, b, held, n in units(text or "", unit, least_words):
-                    if n >= least_words:
-                        x, y = _digest(held)
-                        h1.append(x)
-                        h2.append(y)
-                        ids.append(doc_id)
-                        at.append(a)
-                        to.append(b)
+                for a, b, held in counted(text or "", unit, least_words):
+                    x, y = _digest(held)
+                    h1.append(x)
+                    h2.append(y)
+                    ids.append(doc_id)
+                    at.append(a)
+                    to.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(to, pa.int32())], names=["h1", "h2", "doc_id", "at", "to"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, at int, to int")
 
 
-def repeated(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated(docs: DataFrame, unit: str = "all", least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, ats (offsets at, to of the units to remove) for documents that have any.
 
     Digests are counted with partial sums on the map side, and only those met twice are joined back;
     a digest that a third of the documents hold is one row there, and its other side can be split.
     """
     found = checkpointed(unit_table(docs, unit, least_words))
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = found.join(first, ["h1", "h2"]).where("doc_id <> first.doc_id OR at <> first.at")
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at", "to")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = found.join(first, ["h1", "h2"]).where("doc_id <> first.doc_id OR " + ("at >= first.to" if unit == "all" else "at <> first.at"))
     return again.groupBy("doc_id").agg(F.collect_set(F.struct("at", "to")).alias("ats"))
 
 
-def removed(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
+def removed(docs: DataFrame, unit: str = "all", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeated units cut out of ``text``, and ``removed_spans``.
 
     removed_spans has the original offsets [start, end) in code points, adjoining units as one span.
@@ -115,10 +186,11 @@ def removed(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WO
                     texts = columns[at_text].to_pylist()
                     sizes = columns[at_size].to_pylist() if at_size >= 0 else None
                 gone, kept, last = {(x["at"], x["to"]) for x in starts}, [], 0
-                for a, b, _, _ in units(texts[k] or "", unit, least_words):
+                # rows of one doc_id may differ: each loses units of its own only
+                for a, b, _ in counted(texts[k] or "", unit, least_words):
                     if (a, b) in gone:
-                        if made[k] and made[k][-1]["end"] == a:
-                            made[k][-1]["end"] = b
+                        if made[k] and made[k][-1]["end"] >= a:
+                            made[k][-1]["end"] = max(b, made[k][-1]["end"])
                         else:
                             made[k].append({"start": a, "end": b})
                 for s in made[k]:
@@ -141,7 +213,7 @@ def span_chars() -> Column:
     return F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
-def unit_report(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
+def unit_report(docs: DataFrame, unit: str = "all", least_words: int = LEAST_WORDS) -> DataFrame:
     """Per document: doc_id, text (kept), removed_spans, n_spans, n_removed (code points), kept_sha256."""
     out = removed(docs.select("doc_id", "text"), unit, least_words)
     return out.select("doc_id", "text", "removed_spans", F.size("removed_spans").cast("long").alias("n_spans"), span_chars().alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

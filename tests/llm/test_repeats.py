@@ -53,3 +53,46 @@ def test_passages_and_empty_tables(spark):
     assert passage in got[1].text and got[3].text.startswith("clean") and not got[3].removed_spans
     assert len(got[2].text.split()) < 20 and got[2].n_chars == len(got[2].text)
     assert R.unit_report(d.limit(0)).collect() == []
+
+
+def brute_all(docs):
+    rows = [(u, i, a, b) for i, t in docs for a, b, u in R.all_units(t)]
+    first = {}
+    for u, i, a, b in rows:
+        first[u] = min(first.get(u, (i, a, b)), (i, a, b))
+    gone = {i: set() for i, _ in docs}
+    for u, i, a, b in rows:
+        if i != first[u][0] or a >= first[u][2]:
+            gone[i].update(range(a, b))
+    return {i: "".join(c for k, c in enumerate(t) if k not in gone[i]) for i, t in docs}
+
+
+def test_all_units_are_as_brute_force(spark):
+    docs = list(enumerate([*texts(3), "Yes. " * 40, "a b c\n" * 5]))
+    got = {r.doc_id: r.text for r in R.removed(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == brute_all(docs)
+
+
+def left(spark, first, second):
+    rows = R.removed(spark.createDataFrame([(1, first), (2, second)], "doc_id bigint, text string")).collect()
+    assert next(r.text for r in rows if r.doc_id == 1) == first
+    return next(r.text for r in rows if r.doc_id == 2)
+
+
+def test_short_lines_and_rewrapped_paragraphs(spark):
+    assert left(spark, "own one\nall rights reserved.\n", "own two\nAll rights  reserved.\n") == "own two\n"
+    lines = "".join(f"w{k} x{k} y{k} z{k} q{k}\n" for k in range(11))
+    assert left(spark, f"own one\n{lines}", f"{lines}own two\n") == "own two\n"
+    words = " ".join(f"p{k}" for k in range(20))
+    assert left(spark, words.replace("p9 ", "p9\n"), "own\n\n" + words.replace("p5 ", "p5\n")) == "own\n\n"
+
+
+def test_sentences_do_not_depend_on_what_precedes(spark):
+    passage = " ".join(f"It was {k}." for k in range(20))
+    assert left(spark, f"One own sentence. {passage}", f"Oh. Well then, see. {passage} Bye.") == "Oh. Well then, see. Bye."
+
+
+def test_passages_without_stops_inside_lines(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    got = left(spark, " ".join(f"a{k}" for k in range(30)) + f" {passage} z", " ".join(f"b{k}" for k in range(40)) + f" {passage} y {passage}")
+    assert sum(w.startswith("w") for w in got.split()) < 60 and got.startswith("b0 ") and " y " in got
