@@ -26,6 +26,11 @@ WORD_SCORE, LEAST_TAG, MOST_TAG, LINK_WORD = 1.0, -40.0, -0.05, -2.0
 NEVER = {"script", "style", "noscript", "template", "head", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "canvas", "object", "dialog", "menu"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe"}
 NEVER_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "menu", "breadcrumb", "breadcrumbs", "sidebar", "footer", "header", "comment", "comments", "disqus", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "share", "social", "related", "widget", "toolbar", "pagination"}
+#: Words that may stand with those in a compound (top-banner, sidebar__inner); with others (has-sidebar, entry-header) a mark says nothing.
+BESIDE = {"top", "bottom", "left", "right", "site", "global", "primary", "secondary", "area", "bar", "block", "box", "buttons", "container", "inner", "item", "items", "links", "list", "outer", "section", "slot", "unit", "wrap", "wrapper"}
+#: Elements that are never left out for their marks, and those that don't end an open head.
+ALWAYS = {"html", "body", "article", "main"}
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 CONTENT = {"article", "main"}
 BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *NEVER} - {"button", "select", "svg", "canvas", "object"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -36,12 +41,17 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
 
 
-def marks_of(attributes: str) -> list[str]:
-    return [w for m in MARKS.finditer(attributes) for w in SPLIT.split((m[2] or m[3] or m[4] or "").lower()) if w] if attributes else []
+def values_of(attributes: str) -> list[str]:
+    """The classes, id and role of an element, each whole."""
+    return [v for m in MARKS.finditer(attributes) for v in (m[2] or m[3] or m[4] or "").lower().split()] if attributes else []
+
+
+def marks_of(values: list[str]) -> list[str]:
+    return [w for v in values for w in SPLIT.split(v) if w]
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, list[str]]]:
-    """("text", text, []), ("open", tag, marks) and ("close", tag, []) in page order; raw elements have no text."""
+    """("text", text, []), ("open", tag, values) and ("close", tag, []) in page order; raw elements have no text."""
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -57,15 +67,24 @@ def tokens(page: str) -> Iterator[tuple[str, str, list[str]]]:
         if m[1]:
             yield "close", tag, []
             continue
-        yield "open", tag, marks_of(m[3])
+        yield "open", tag, values_of(m[3])
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
             yield "close", tag, []
 
 
-def never(tag: str, marks: list[str]) -> bool:
-    return tag in NEVER or not NEVER_WORDS.isdisjoint(marks)
+def noted(values: list[str]) -> bool:
+    """Whether a class, id or role as a whole names what is no content."""
+    for v in values:
+        ws = {w for w in SPLIT.split(v) if w and not w.isdigit()}
+        if ws & NEVER_WORDS and ws <= NEVER_WORDS | BESIDE:
+            return True
+    return False
+
+
+def never(tag: str, values: list[str]) -> bool:
+    return tag in NEVER or (tag not in ALWAYS and noted(values))
 
 
 def pieces(page: str) -> list[tuple[str, str, bool, bool]]:
@@ -79,11 +98,21 @@ def pieces(page: str) -> list[tuple[str, str, bool, bool]]:
     def state() -> tuple[bool, bool]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
-    for kind, value, marks in tokens(page):
+    def end_head() -> None:
+        for k, (tag, _, _) in enumerate(stack):
+            if tag == "head":
+                del stack[k:]
+                return
+
+    for kind, value, values in tokens(page):
         if kind == "text":
+            if stack and stack[-1][0] == "head" and value.strip():
+                end_head()
             out.append(("text", value, *state()))
             continue
         if kind == "open":
+            if value not in IN_HEAD:
+                end_head()
             while stack and value in CLOSED_BY_NEXT.get(stack[-1][0], ()):
                 stack.pop()
             # an unclosed inline element ends with its paragraph
@@ -96,11 +125,11 @@ def pieces(page: str) -> list[tuple[str, str, bool, bool]]:
                         break
             gone, content = state()
             # a header inside an article is its heading, not the page's
-            own = never(value, marks) and not (value == "header" and content and NEVER_WORDS.isdisjoint(marks))
+            own = never(value, values) and not (value == "header" and content and not noted(values))
             inside = (gone or own, content or value in CONTENT)
             if value in BLOCKS:
                 out.append(("break", "", *inside))
-            out.append(("tag", " ".join([value, *marks[:2]]), *inside))
+            out.append(("tag", " ".join([value, *marks_of(values)[:2]]), *inside))
             if value not in VOID:
                 stack.append((value, *inside))
         else:

@@ -56,3 +56,20 @@ def test_odd_tables(spark):
     d = spark.createDataFrame([(1, "u", None, 1), (None, None, "<p>a b", 1), (1, "u", "", 1)], kind)
     assert sorted(r.text for r in X.extract(d).collect()) == ["", "", "a b"]
     assert X.extract(d.limit(0)).collect() == []
+
+
+def test_marks_of_a_page_do_not_hide_its_content():
+    words = " ".join(f"word{k}" for k in range(60))
+    weights = X.fit_weights(X.Counter())
+    for page in (
+        f"<html class='no-cookies'><body class='has-sidebar'><p>{words}</body></html>",
+        f"<body class='sidebar'><article class='post has-comments'><p>{words}</article></body>",
+        f"<div id='main' class='with-menu'><p>{words}</div>",
+        f"<main class='comments'><p>{words}</main>",
+        f"<html><head><title>T</title><meta charset=utf-8><body><p>{words}",
+        f"<head><title>T</title><p>{words}",
+        f"<head><title>T</title>{words}",
+    ):
+        assert X.main_text(page, weights) == words
+    page = f"<article><div class='entry-header'><h1>T</h1></div><p>{words}<div class='top-banner ad-slot-2'>buy</div><div class='sidebar__inner'>x</div></article>"
+    assert X.main_text(page, weights) == f"T\n\n{words}"
