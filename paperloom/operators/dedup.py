@@ -34,21 +34,25 @@ def band(fp: Column, k: int, bands: int, bits: int = 64) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << (last - first)) - 1))
 
 
-def candidate_pairs(prints: DataFrame, threshold: int = V.HAMMING_THRESHOLD) -> DataFrame:
+def candidate_pairs(prints: DataFrame, threshold: int = V.HAMMING_THRESHOLD, same_label: bool | None = None) -> DataFrame:
     """(seq, cand, distance) of each document with earlier ones within ``threshold`` bits.
 
     threshold + 1 bands: two fingerprints within the threshold agree in one of them at least, so an
     equi-join by band finds all pairs. A pair is made in the first band that it agrees in, once.
+    With ``same_label`` only pairs of equal labels, or of different ones, are made.
     """
     bands = threshold + 1
-    banded = prints.select("seq", "fp", F.posexplode(F.array(*[band(F.col("fp"), k, bands) for k in range(bands)])).alias("band", "bits"))
+    banded = prints.select("seq", "fp", *(["label"] if same_label is not None else []), F.posexplode(F.array(*[band(F.col("fp"), k, bands) for k in range(bands)])).alias("band", "bits"))
     a, b = banded.alias("a"), banded.alias("b")
     same = [band(F.col("a.fp"), k, bands) == band(F.col("b.fp"), k, bands) for k in range(bands)]
     first = F.expr("0")
     for k in range(bands - 1, -1, -1):
         first = F.when(same[k], k).otherwise(first)
     distance = C.hamming(F.col("a.fp"), F.col("b.fp"))
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("b.seq") < F.col("a.seq")) & (distance <= threshold) & (F.col("a.band") == first))
+    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("b.seq") < F.col("a.seq")) & (distance <= threshold) & (F.col("a.band") == first)
+    if same_label is not None:
+        on = on & (F.col("a.label").eqNullSafe(F.col("b.label")) == F.lit(same_label))
+    met = a.join(b, on)
     return met.select(F.col("a.seq").alias("seq"), F.col("b.seq").alias("cand"), distance.cast("bigint").alias("distance"))
 
 
@@ -78,6 +82,48 @@ def closest_pairs(prints: DataFrame, k: int = 6, threshold: int = V.HAMMING_THRE
     return candidate_pairs(prints, threshold).orderBy("distance", "seq", "cand").limit(k)
 
 
+def closest_by_label(prints: DataFrame, k: int = 6, radii: tuple[int, ...] = (2, 4, 8, 16, 24, 32, 63)) -> DataFrame:
+    """same_label, rank, seq, cand, distance: the k closest of all pairs of equal and of different labels.
+
+    The banded search is widened for each class until it has k pairs (or all there are). Of documents
+    with one fingerprint and label the k + 1 least seqs take part: no others are in the k first pairs.
+    """
+    by = ["fp", "label"]
+    few = prints.select("seq", *by).withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(64)))
+    for keys in ([*by, "salt"], by):
+        few = few.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy("seq"))).where(F.col("nth") <= k + 1)
+    few = few.select("seq", *by)
+    totals = pairs_by_label(prints).collect()
+    out = None
+    for total in totals:
+        for radius in radii:
+            found = candidate_pairs(few, radius, total.same_label).orderBy("distance", "seq", "cand").limit(k)
+            rows = found.collect()
+            if len(rows) >= min(k, total.pairs) or radius == radii[-1]:
+                break
+        made = [(total.same_label, n + 1, *r) for n, r in enumerate(rows)]
+        made = prints.sparkSession.createDataFrame(made, "same_label boolean, rank bigint, seq bigint, cand bigint, distance bigint")
+        out = made if out is None else out.union(made)
+    return out
+
+
+def pairs_by_label(prints: DataFrame) -> DataFrame:
+    """same_label, pairs: how many pairs of equal and of different labels there are, both rows always."""
+    sizes = prints.groupBy("label").agg(F.count("*").cast("decimal(38, 0)").alias("n"))
+    sums = sizes.agg(F.coalesce(F.sum(F.expr("n * (n - 1) / 2")), F.lit(0)).cast("bigint").alias("same"), F.coalesce(F.sum("n"), F.lit(0)).cast("decimal(19, 0)").alias("n"))
+    return sums.selectExpr("stack(2, true, same, false, cast(n * (n - 1) / 2 AS bigint) - same) AS (same_label, pairs)")
+
+
+def floors(prints: DataFrame, threshold: int = V.HAMMING_THRESHOLD) -> DataFrame:
+    """same_label, floor, pairs over all pairs, and for different labels whether the threshold is below the floor.
+
+    A floor is null where there is no pair. Equal labels have no such check: the hash can't separate them.
+    """
+    least = closest_by_label(prints, 1).select("same_label", F.col("distance").alias("floor"))
+    out = pairs_by_label(prints).join(least, "same_label", "left")
+    return out.select("same_label", "floor", "pairs", F.when(~F.col("same_label"), F.lit(threshold) < F.col("floor")).alias("threshold_below"))
+
+
 def cleared_references(flags: DataFrame, deleted: DataFrame) -> DataFrame:
     """Flags (seq, duplicate_of) without those of deleted documents (id); references to them become null."""
     left = flags.join(deleted, F.col("seq") == F.col("id"), "left_anti")

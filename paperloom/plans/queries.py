@@ -352,6 +352,16 @@ def closest_pairs(spark, sf):
     return dedup.closest_pairs(_prints(spark, sf))
 
 
+@query
+def dedup_floors(spark, sf):
+    return dedup.floors(_prints(spark, sf))
+
+
+@query
+def closest_pairs_by_label(spark, sf):
+    return dedup.closest_by_label(_prints(spark, sf))
+
+
 @query
 def dangling_refs(spark, sf):
     flags = dedup.exact_duplicates(_payloads(spark, sf)).select("seq", "duplicate_of")
