@@ -90,6 +90,11 @@ def trace_calls(spark, sf):
     return D.trace_calls(spark, sf).where("doc_id = 1").select("doc_id", "seq", "stage", F.substring("response", 1, 240).alias("head"))
 
 
+@query
+def trace_responses(spark, sf):
+    return D.trace_calls(spark, sf).select("doc_id", "seq", "stage", "response", F.substring("response", 1, 240).alias("head"))
+
+
 # --- state: queue, checklists, exports ---
 
 
@@ -103,6 +108,11 @@ def document_by_id(spark, sf):
     return D.documents(spark, sf).where("id = 7").select("seq", "id", "client_id", "status", "doc_type")
 
 
+@query
+def documents_by_id(spark, sf):
+    return D.documents(spark, sf).select("seq", "id", "client_id", "status", "doc_type")
+
+
 @query
 def queue_counts(spark, sf):
     return checklist.queue_counts(D.documents(spark, sf))
