@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step of an Arrow function works on; bounds a worker's memory.
 CHUNK_BYTES = 1 << 20
@@ -33,11 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only if the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    If neither is set, a folder under the warehouse, which is shared as well; never a machine's own
+    temporary folder.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        set_dir = spark.sparkContext.getCheckpointDir()
-        found = set_dir or tempfile.mkdtemp(prefix="paperloom-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.paperloom"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -53,6 +56,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Keys with over 1/HOT of all rows are hot; there are fewer than HOT of them.
+HOT = 10_000
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
+    """``big`` inner joined with ``small``, which has one row a key and in ``n`` the key's rows in ``big``.
+
+    The hot keys' rows of ``small``, fewer than HOT, are broadcast, so that a hot key's rows stay
+    where they are; all others are shuffled. Both tables are read twice: have them checkpointed.
+    """
+    share = max(1, total // HOT)
+    often = F.broadcast(small.where(F.col(n) > share).drop(n))
+    seldom = small.where(F.col(n) <= share).drop(n)
+    return big.join(often, on).unionByName(big.join(often.select(*on), on, "left_anti").join(seldom, on))
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """Strings with null taken as empty."""
     if isinstance(column, pa.ChunkedArray):

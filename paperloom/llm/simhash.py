@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import checkpointed, chunks, raw
+from paperloom.llm.common import checkpointed, chunks, raw, skew_join
 
 RADIUS = 2
 #: Words a shingle has and the seed of its hash.
@@ -215,17 +215,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     folder. Each step only keeps each node's link to a smaller one, so rows never outgrow the edges.
     """
     now = checkpointed(edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct())
+    summary = _summary(now)
     for _ in range(most_rounds):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        lower = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(lower, "b").select(F.col("m").alias("m"), F.col("a"), F.col("b"))
+        both, total = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * summary[0]
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = checkpointed(skew_join(both.where("b > a"), least, ["a"], total).select(F.col("m").alias("a"), "b").where("a <> b").distinct())
+        lower = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = skew_join(large, lower, ["b"], total)
         star = small.select(F.col("m").alias("a"), F.col("b")).union(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-        after = checkpointed(star)
-        if _summary(now) == _summary(after):
+        now, before = checkpointed(star), summary
+        summary = _summary(now)
+        if summary == before:
             break
-        now = after
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -240,11 +241,11 @@ def linked(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, radius: int =
     """
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     prints = checkpointed(fingerprints(slim, size, seed).select("doc_id", "simhash"))
-    distinct = checkpointed(prints.groupBy("simhash").agg(F.min("doc_id").alias("least")))
-    edges = checkpointed(links(distinct.select("simhash"), radius))
-    roots = components(edges)
-    rooted = distinct.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
+    distinct = checkpointed(prints.groupBy("simhash").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(links(distinct.select("simhash"), radius))
+    rooted = checkpointed(distinct.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").withColumn("root", F.coalesce("root", "simhash")))
     # the component's least id, kept with every fingerprint: components may be large, so first by root
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("simhash", "component_id")
-    return prints.join(named, "simhash").select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+    least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")))
+    total = prints.count()
+    named = checkpointed(skew_join(rooted, least, ["root"], total, "nodes").select("simhash", "component_id", "n"))
+    return skew_join(prints, named, ["simhash"], total).select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
