@@ -1,6 +1,8 @@
 import html
 import random
 import re
+import time
+from html.parser import HTMLParser
 
 from paperloom.llm import webtext as X
 
@@ -73,3 +75,98 @@ def test_marks_of_a_page_do_not_hide_its_content():
         assert X.main_text(page, weights) == words
     page = f"<article><div class='entry-header'><h1>T</h1></div><p>{words}<div class='top-banner ad-slot-2'>buy</div><div class='sidebar__inner'>x</div></article>"
     assert X.main_text(page, weights) == f"T\n\n{words}"
+
+
+def told(r, n):
+    return " ".join(r.choices("amber birch cedar delta ember fjord grove heath inlet".split(), k=n))
+
+
+def story(r, tag, mark):
+    """A page whose furniture has names that no list knows, and its text."""
+    title, paragraphs = told(r, 3), [told(r, r.randrange(1, 40)) for _ in range(r.randrange(1, 5))]
+    inner = f'<div class="entry-header"><h1>{title}</h1></div>' + "".join(f"<p>{p}</p>" for p in paragraphs[:1]) + f'<div class="kq-strip">{told(r, 30)}</div>' + "".join(f"<p>{p}</p>" for p in paragraphs[1:])
+    page = f'<body class="has-sidebar"><div class="zx-top"><p>{told(r, 50)}</p></div><{tag} class="{mark}">{inner}</{tag}><div class="zx-rail"><p>{told(r, 60)}</p></div>{told(r, 4)}</body>'
+    strip = re.search(r'kq-strip">([^<]*)<', page)[1]
+    return page, title, paragraphs, strip
+
+
+def test_fitted_weights_decide_on_pages_without_labels():
+    r = random.Random(3)
+    counts = X.Counter()
+    for _ in range(40):
+        counts.update(X.label_counts(story(r, "article", "story")[0]))
+    fitted = X.fit_weights(counts)
+    wrong = {"constant": 0, "prior": 0}
+    for _ in range(40):
+        page, title, paragraphs, strip = story(r, "div", "story")
+        # the strip stands within labelled content, so its text counts as such
+        assert X.main_text(page, fitted) == "\n\n".join([title, paragraphs[0], strip, *paragraphs[1:]])
+        for name, weights in (("constant", dict.fromkeys(fitted, 0.0)), ("prior", {})):
+            wrong[name] += X.main_text(page, weights) != X.main_text(page, fitted)
+    assert wrong == {"constant": 40, "prior": 40}
+    shuffled = dict(zip(fitted, r.sample(list(fitted.values()), len(fitted)), strict=True))
+    assert X.main_text(page, shuffled) != X.main_text(page, fitted)
+
+
+def test_two_articles_and_furniture_between():
+    page = "<body><nav><a href=x>m</a></nav><article><h1>A</h1><p>one</p></article><nav><ul><li><a href=y>menu here</a></li></ul></nav><article><h1>B</h1><p>two</p></article><footer>f</footer></body>"
+    counts = X.Counter()
+    for _ in range(5):
+        counts.update(X.label_counts(page))
+    assert X.main_text(page, X.fit_weights(counts)) == "A\n\none\n\nB\n\ntwo"
+
+
+class Plain(HTMLParser):
+    """Reads well-formed pages by the library's parser: (text or None at a block's edge, score)."""
+
+    def __init__(self, weights):
+        super().__init__(convert_charrefs=True)
+        self.weights, self.open, self.made = weights, [], []
+
+    def handle_starttag(self, tag, attrs):
+        around = self.open[-1] if self.open else (None, False, False, False)
+        values = " ".join(v for _, v in attrs).split()
+        e = X.Element(tag, values, 0, around[2] or around[0] in ("article", "main"))
+        own = sum(X.weight(self.weights, f) for f in X.features(e))
+        gone = around[1] or own < X.CUT
+        unseen = X.MOST_TAG if e.within or X.features(e)[-1] in self.weights else X.LIST_TAGS.get(tag, X.MOST_TAG)
+        cost = 0.0 if around[1] else 10 * X.MOST_TAG if gone else max(X.LEAST_TAG, min(unseen, own))
+        self.made += [(None, 0.0), (None, cost)] if tag in X.BLOCKS else [("", cost)]
+        self.open.append((tag, gone, e.within, around[3] or tag == "a" and not e.within))
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+        self.made.append((None, 0.0) if tag in X.BLOCKS else ("", 0.0))
+
+    def handle_data(self, data):
+        tag, gone, within, link = self.open[-1]
+        place = self.weights.get("text " + ("in " if within else "") + tag, 0.0)
+        worth = -1.0 if place < X.CUT else 0.1 if link else 1.0
+        self.made.append(("" if gone else data, 0.0 if gone else worth * len(data.split())))
+
+
+def grown(r, depth=0):
+    tag = r.choice(["div", "p", "section", "ul", "nav", "b", "article", "a"])
+    mark = r.choice(["", ' class="story"', ' class="zx"', ' id="menu"'])
+    inner = "".join(grown(r, depth + 1) if depth < 3 and tag not in "pba" and r.random() < 0.6 else told(r, r.randrange(1, 9)) + " &amp; " for _ in range(r.randrange(1, 4)))
+    return f"<{tag}{mark}>{inner}</{tag}>"
+
+
+def test_main_text_is_as_brute_force():
+    r = random.Random(6)
+    for _ in range(150):
+        page = f"<body>{''.join(grown(r) for _ in range(3))}</body>"
+        weights = {f: r.uniform(-3, 3) for f in (".story", "in .story", ".zx", "in .zx", "nav", "li", "in div", "text div", "text in p", "text body") if r.random() < 0.7}
+        plain = Plain(weights)
+        plain.feed(page)
+        _, a, b = brute_run([x for _, x in plain.made])
+        text = "".join("\0" if t is None else t for t, _ in plain.made[a:b])
+        want = "\n\n".join(t for t in (" ".join(x.split()) for x in text.split("\0")) if t)
+        assert X.main_text(page, weights) == want, page
+
+
+def test_unclosed_tags_are_read_in_linear_time():
+    began = time.process_time()
+    X.main_text("<b>" * 30_000 + "<p>x" * 15_000 + "</i></b>" * 15_000, {})
+    X.main_text("<article>" + "<i>" * 30_000 + "</b>" * 30_000 + "<a title=\"" * 5_000, {})
+    assert time.process_time() - began < 8
