@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of an Arrow function works on; bounds a worker's memory.
@@ -80,6 +81,42 @@ def skew_join(big: DataFrame, small: DataFrame, on: list[str], total: int, n: st
     return big.join(often, on).unionByName(big.join(often.select(*on), on, "left_anti").join(seldom, on))
 
 
+#: Blocks of consecutive ids, at most, and those that rows without an id are dealt over.
+MOST_BLOCKS, NULL_BLOCKS = 16_384, 64
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Blocks of documents by id: as many documents each, whatever the ids are.
+
+    ``bounds`` are the first ids of blocks 1, 2, ..., taken from ids that a hash chooses. Rows without
+    an id come first, in the order of their tie, in blocks -NULL_BLOCKS to -1. Rows of one id are in
+    one block.
+    """
+
+    bounds: np.ndarray
+    nulls: bool
+
+    @staticmethod
+    def of(docs: DataFrame, block_docs: int) -> "Blocks":
+        n, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+        blocks = min(MOST_BLOCKS, known // block_docs + 1)
+        chosen = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, known // (8 * blocks)))) == 0
+        ids = np.sort(docs.where(chosen & F.col("doc_id").isNotNull()).select("doc_id").distinct().toArrow().column(0).to_numpy())  # about 8 a block
+        at = np.arange(1, blocks) * len(ids) // blocks
+        return Blocks(np.unique(ids[at]) if len(ids) else np.zeros(0, np.int64), known < n)
+
+    def number(self, ids: pa.Array, ties: np.ndarray) -> np.ndarray:
+        """The block of each row; ties are unsigned 32-bit numbers."""
+        out = np.searchsorted(self.bounds, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), side="right")
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), (ties.astype(np.int64) >> 26) - NULL_BLOCKS, out)
+
+    def rank(self, block: Column) -> tuple[Column, int]:
+        """Block numbers from 0 up, and how many there are."""
+        low = NULL_BLOCKS if self.nulls else 0
+        return block + F.lit(low), len(self.bounds) + 1 + low
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """Strings with null taken as empty."""
     if isinstance(column, pa.ChunkedArray):

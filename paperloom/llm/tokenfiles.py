@@ -8,6 +8,8 @@ span of tokens is decoded without the rest. Segments are written by Spark in the
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,68 +19,117 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import LARGE_CHUNK, chunks, raw, shared_path, words
+from paperloom.llm.common import LARGE_CHUNK, Blocks, chunks, raw, shared_path, spans_of
 
 END_ID = 1
-#: Documents in a block of consecutive ids (more if there would be over MOST_BLOCKS blocks).
-BLOCK_DOCS, MOST_BLOCKS = 512, 65_536
+#: Documents in a block of consecutive ids (more if there would be too many blocks).
+BLOCK_DOCS = 512
 #: Tokens at which a segment is closed.
 SEGMENT_TOKENS = 2_000_000
 ROUNDS, LEAST_COUNT = 8, 8
-#: Words whose ids a Python worker remembers.
-MEMORY_WORDS = 600_000
-#: The six ASCII white-space characters.
-SPACES = bytes(32 if x in b" \t\n\r\x0b\x0c" else x for x in range(256))
+#: Pieces whose ids a Python worker remembers, and those encoded in one call.
+MEMORY_PIECES, AT_ONCE = 600_000, 4_000
+#: Classes of bytes: white space, digits, letters, other ASCII, and what pieces are not cut beside.
+SPACE, DIGIT, LETTER, MARK, WHOLE = range(5)
+
+
+def _class_of(x: int) -> int:
+    if x in b" \t\n\r\x0b\x0c":
+        return SPACE
+    if x >= 128 or x == 39:  # an apostrophe may begin a contraction
+        return WHOLE
+    return LETTER if chr(x).isalpha() else DIGIT if chr(x).isdigit() else MARK
+
+
+CLASSES = np.array([_class_of(x) for x in range(256)], np.uint8)
+LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+#: Pieces of one class in ASCII: the tokenizer takes each as one word, whose last id alone ends a word.
+ONE_WORD = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9\x80-\xff']+")
 
 
 # --- encoding ----------------------------------------------------------------------------------
 
 
-class WordEncoder:
-    """Ids of white-space separated words; the tokenizer never joins over white space.
+def cut_pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(first piece of each text, n+1 entries; the pieces): the parts of a text that are encoded apart.
 
-    Each worker remembers the words it met first, up to a bound; the others are encoded each time.
+    Texts are cut at white space and between ASCII letters, digits and marks, where the tokenizer's
+    own words end as well; never beside an apostrophe or a byte of a longer character. Letters are
+    lower-cased unless combining marks (U+0300 to U+036F) may turn them into others.
+    """
+    if not len(data):
+        return np.zeros(len(at), np.int64), pa.array([], pa.binary())
+    kind = CLASSES[data]
+    solid = kind != SPACE
+    left, right = kind[:-1], kind[1:]
+    edge = ((left != right) | (left == DIGIT)) & (left != WHOLE) & (right != WHOLE)
+    cuts = np.concatenate([at, np.flatnonzero(edge) + 1])
+    starts, ends = spans_of(solid, cuts)
+    plain = data if ((data == 0xCC) | (data == 0xCD)).any() else np.frombuffer(data.tobytes().translate(LOWER), np.uint8)
+    ends_at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    kept = np.ascontiguousarray(plain[solid])
+    return np.searchsorted(starts, at), pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends_at), pa.py_buffer(kept)])
+
+
+class PieceEncoder:
+    """Ids of pieces, as the tokenizer gives them for whole texts without special tokens in them.
+
+    Each worker remembers the pieces it met first, up to a bound; the others are encoded each time.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.closes = np.zeros(self.size, bool)
+        self.closes[[k for word, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if word.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def _encode(self, found: list[bytes]) -> list[bytes]:
-        """Many words in one call: a token belongs to the word that its offset lies in."""
-        out: list[bytes] = []
-        for first in range(0, len(found), 20_000):
-            texts = [w.decode() for w in found[first : first + 20_000]]
-            ends = np.cumsum([len(t) + 1 for t in texts])
-            made = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(made.ids, self.kind)
-            at = np.fromiter((a for a, _ in made.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(np.searchsorted(ends, at, side="right"), np.arange(len(texts) + 1)).tolist()
-            out += [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+    def _encode(self, found: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        simple = [w for w in found if ONE_WORD.fullmatch(w)]
+        lines = [simple[k : k + 50] for k in range(0, len(simple), 50)]
+        for first in range(0, len(lines), AT_ONCE // 50):
+            some = lines[first : first + AT_ONCE // 50]
+            made = self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in some], add_special_tokens=False)
+            ids = np.concatenate([np.array(m.ids, self.kind) for m in made])
+            cuts = (self.kind.itemsize * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            held = ids.tobytes()
+            words = [w for x in some for w in x]
+            out.update((w, held[a:b]) for w, a, b in zip(words, [0, *cuts], cuts, strict=False))
+            if len(cuts) != len(words):
+                raise ValueError("the tokenizer does not end words as its pieces do")
+        rest = [w for w in found if w not in out]
+        for first in range(0, len(rest), AT_ONCE):
+            some = rest[first : first + AT_ONCE]
+            made = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            out.update((w, np.array(m.ids, self.kind).tobytes()) for w, m in zip(some, made, strict=True))
         return out
 
     def ids(self, found: list[bytes]) -> list[bytes]:
         known = self.known
         new = [w for w in found if w not in known]
-        made = dict(zip(new, self._encode(new), strict=True)) if new else {}
-        for w, x in made.items() if len(known) < MEMORY_WORDS else ():
-            known[w] = x
-        return [made[w] if w in made else known[w] for w in found] if made else [known[w] for w in found]
+        if not new:
+            return [known[w] for w in found]
+        made = self._encode(new)
+        room = MEMORY_PIECES - len(known)
+        if room > 0:
+            known.update(made if len(made) <= room else list(made.items())[:room])
+        return [made[w] if w in made else known[w] for w in found]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
-def encode_chunk(coder: WordEncoder, data: np.ndarray, at: np.ndarray, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of many texts one after the other, each closed by ``end_id``, and the n+1 offsets."""
-    _, _, first, found = words(data, at, SPACES)
+def encode_plain(coder: PieceEncoder, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many texts one after the other, and the n+1 offsets."""
+    first, found = cut_pieces(data, at)
     coded = found.dictionary_encode() if len(found) else pa.array([], pa.binary()).dictionary_encode()
     parts = coder.ids(coded.dictionary.to_pylist())
     flat = np.frombuffer(b"".join(parts), coder.kind)
@@ -88,7 +139,24 @@ def encode_chunk(coder: WordEncoder, data: np.ndarray, at: np.ndarray, end_id: i
     lengths = sizes[which]
     ends = np.cumsum(lengths)
     ids = flat[np.repeat(begins[which] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-    offsets = np.concatenate([[0], ends])[first]
+    return ids, np.concatenate([[0], ends])[first]
+
+
+def encode_chunk(coder: PieceEncoder, data: np.ndarray, at: np.ndarray, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many texts one after the other, each closed by ``end_id``, and the n+1 offsets.
+
+    A text that holds a special token's string is encoded by the tokenizer in one piece.
+    """
+    held = data.tobytes()
+    if any(x in held for x in coder.special):
+        texts = [held[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+        odd = [any(x in t for x in coder.special) for t in texts]
+        plain = [b"" if o else t for t, o in zip(texts, odd, strict=True)]
+        ids, offsets = encode_plain(coder, np.frombuffer(b"".join(plain), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in plain])]).astype(np.int64))
+        parts = [np.array(coder.tokenizer.encode(t.decode(), add_special_tokens=False).ids, coder.kind) if o else ids[offsets[k] : offsets[k + 1]] for k, (t, o) in enumerate(zip(texts, odd, strict=True))]
+        ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    else:
+        ids, offsets = encode_plain(coder, data, at)
     if end_id is None:
         return ids, offsets
     return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
@@ -191,38 +259,31 @@ def read_span(segment: dict, first: int, last: int, base: int) -> np.ndarray:
 SEGMENT = "block bigint, segment int, block_start bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, rules binary, rule_lengths binary, sequence binary"
 
 
-def block_plan(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> tuple[int, int, int]:
-    """(least id, ids a block spans, blocks): at most MOST_BLOCKS, whatever the ids are."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        return 0, block_docs, 1
-    span = max(block_docs, -(-(high - low + 1) // MOST_BLOCKS))
-    return low, span, (high - low) // span + 1
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, block_docs: int = BLOCK_DOCS, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encodes ``docs`` (doc_id, text) and writes the segments under ``path``.
 
-    Order: doc_id, nulls first; rows of equal ids by their text's hash. Null text is empty. Part
+    Order: doc_id, nulls first; rows of equal ids by their ids' checksum. Null text is empty. Part
     files are in ascending order of doc_id, as are blocks, segments in a block and rows in them.
+    Blocks hold as many documents each, wherever the ids lie; only rows of one id, or of none and
+    one text, are never parted. A very long text is encoded at once and closes its segment.
+    Repeated rows are documents of their own; an empty table gives empty files.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    low, span, blocks = block_plan(docs, block_docs)
-    # Not cut off at 2**63: a null id counts as one before the least
-    block = F.coalesce(F.expr(f"cast((doc_id - {low}L) div {span}L as bigint)"), F.lit(-1))
-    parts = max(1, min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    part = F.greatest(F.expr(f"cast(block * {parts} div {blocks} as int)"), F.lit(0))
+    blocks = Blocks.of(docs, block_docs)
+    rank, count = blocks.rank(F.col("block"))
+    parts = max(1, min(count, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    part = F.expr(f"cast(rank * {parts} div {count} as int)")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in chunks(batches, most=LARGE_CHUNK):
-            data, at = raw(batch.column(2))
+            data, at = raw(batch.column(1))
             ids, offsets = encode_chunk(coder, data, at, end_id)
             wide = pa.array((offsets * coder.kind.itemsize).astype(np.int32))
             held = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, wide.buffers()[1], pa.py_buffer(np.ascontiguousarray(ids))])
-            ties = pa.array([zlib.crc32(held[k].as_buffer()) for k in range(batch.num_rows)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ties, held], names=["block", "doc_id", "tie", "ids"])
+            ties = np.array([zlib.crc32(held[k].as_buffer()) for k in range(batch.num_rows)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks.number(batch.column(0), ties), pa.int64()), batch.column(0), pa.array(ties), held], names=["block", "doc_id", "tie", "ids"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
@@ -257,8 +318,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         if names:
             yield close()
 
-    ids = docs.select(block.alias("block"), "doc_id", "text").mapInArrow(encoded, "block bigint, doc_id bigint, tie bigint, ids binary")
-    dealt = ids.withColumn("part", part).repartitionById(parts, F.col("part")).drop("part")
+    ids = docs.mapInArrow(encoded, "block bigint, doc_id bigint, tie bigint, ids binary")
+    dealt = ids.withColumn("rank", rank).withColumn("part", part).repartitionById(parts, F.col("part")).drop("part", "rank")
     ordered = dealt.sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), "tie")
     ordered.mapInArrow(packed, SEGMENT).write.parquet(path)
 
@@ -283,7 +344,7 @@ def read_token_files(spark: SparkSession, path: str, tokenizer: str) -> DataFram
                 yield pa.RecordBatch.from_arrays([blocks, pa.array(row["doc_ids"], pa.int64()), pa.array(row["block_start"] + ends - counts), pa.array(counts), pa.array(sums, pa.int64())], names=["block", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     rows = segments.mapInArrow(decoded, "block bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
-    # at most MOST_BLOCKS + 1 rows of 16 bytes
+    # at most MOST_BLOCKS + NULL_BLOCKS rows of 16 bytes
     placed = rows.join(F.broadcast(bases), "block")
     return placed.select("doc_id", (F.col("base_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

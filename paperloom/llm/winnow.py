@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import mix
-from paperloom.llm.tokenfiles import block_plan
+from paperloom.llm.common import Blocks, mix
 
 GRAM, WINDOW = 20, 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -108,15 +107,23 @@ def fingerprint_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW,
     """Per document: its fingerprint, its edited text's, and its likeness to that and to the next document's.
 
     The next document is that of the next doc_id (nulls first; rows of equal ids by their text's
-    hash), after the last one the first. Blocks of consecutive ids are each sorted in one task; a
-    block's first document is sent to the block before it as well, as the next of its last.
+    hash), after the last one the first. Blocks of consecutive ids, as many documents each wherever
+    the ids lie, are each sorted in one task; a block's first document is sent to the block before it
+    as well, as the next of its last. Rows of one id, or of none and one text, are in one block. Null
+    texts are empty, repeated rows are documents of their own, one document alone is its own next,
+    whole texts count however long, and an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, span, blocks = block_plan(docs, block_docs)
-    block = F.coalesce(F.expr(f"cast((doc_id - {low}L) div {span}L as bigint)"), F.lit(-1).cast("bigint"))
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("tie"))
-    keyed = docs.withColumn("block", block).withColumn("key", order)
-    # at most MOST_BLOCKS + 1 rows, of 40 bytes
+    blocks = Blocks.of(docs, block_docs)
+
+    @F.arrow_udf("bigint")
+    def block(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        return pa.array(blocks.number(ids, ties.to_numpy(zero_copy_only=False)), pa.int64())
+
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 32)
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("id"), "tie", F.xxhash64("text").alias("more"))
+    keyed = docs.withColumn("tie", tie).withColumn("key", order).withColumn("block", block("doc_id", "tie"))
+    # at most MOST_BLOCKS + NULL_BLOCKS rows, of 60 bytes
     heads = keyed.groupBy("block").agg(F.min("key").alias("head"))
     heads = heads.selectExpr("block AS head_block", "head", "coalesce(lag(block) OVER (ORDER BY block), max(block) OVER ()) AS before")
     sent = keyed.join(F.broadcast(heads), (F.col("block") == F.col("head_block")) & (F.col("key") == F.col("head")), "left")

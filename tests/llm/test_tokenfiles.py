@@ -12,13 +12,12 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def texts(n, seed=1):
     r = random.Random(seed)
-    odd = ["don't", "é", "éx", "<|endoftext|>", "ABC's", "日本語", "x y", " ", "ΑΣ", "İstanbul", "12a3", "...!", "a​b", "\x85", "🎉🎉", "́"]
+    odd = ["don't", "é", "éx", "<|endoftext|>", "ABC's", "日本語", "x y", " ", "ΑΣ", "İstanbul", "12a3", "b.<|endoftext|>c", "<|startoftext|>", "a.'s", "'.b", "it's,", "é.b", "….a", "1é2", "J̌", "≮", "İx", "x=1+2;", "'re'reb", "№5", "...!", "a​b", "\x85", "🎉🎉", "́"]
     return [r.choice([" ", "  ", "\n", "\t "]).join(r.choices([*odd, "the", "cat", "thing", "other"], k=r.randrange(80))) for _ in range(n)]
 
 
 def plain(docs):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in docs:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -29,7 +28,6 @@ def plain(docs):
 
 def test_words_encode_as_whole_texts():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     found = texts(120)
     held = [x.encode() for x in found]
     at = np.concatenate([[0], np.cumsum([len(x) for x in held])])
@@ -69,3 +67,12 @@ def test_odd_tables(spark):
     rows = K.token_report(spark.createDataFrame(docs, kind), PATH).collect()
     assert [r.doc_id for r in sorted(rows, key=lambda r: r.start)] == [None, None, 3, 3]
     assert sorted(r.n_tokens for r in rows) == [1, 2, 2, 3]
+
+
+def test_ids_over_the_whole_range(spark):
+    docs = [(i, t) for i, t in zip([-(2**63), -5, 10**15, 2**63 - 1, *range(100, 300)], texts(204, 5), strict=True)]
+    d = spark.createDataFrame(docs + [(None, f"the cat {k}") for k in range(50)], "doc_id bigint, text string").repartition(4)
+    rows = sorted((r for r in K.token_report(d, PATH).collect()), key=lambda r: r.start)
+    assert [r.doc_id for r in rows[:50]] == [None] * 50
+    first = rows[50].start
+    assert [(r.doc_id, r.start - first, r.n_tokens, r.ids_crc32) for r in rows[50:]] == plain(sorted(docs))

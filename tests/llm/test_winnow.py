@@ -1,9 +1,12 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from paperloom.llm import common as C
 from paperloom.llm import winnow as N
 
 
@@ -75,3 +78,20 @@ def test_odd_tables(spark):
     assert sorted(str(x.doc_id) for x in rows) == ["1", "1", "2", "None"]
     d = spark.createDataFrame([(1, "abc", "k"), (None, None, "k")], kind.replace("key", "positions"))
     assert [x.fingerprint == "" for x in N.fingerprints(d).collect()] == [False, True]
+
+
+def test_blocks_hold_as_many_wherever_ids_lie(spark):
+    ids = [-(2**63), 2**63 - 1, 10**15, *range(2000)]
+    d = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, f"n{k}") for k in range(300)], "doc_id bigint, text string").repartition(5)
+    blocks = C.Blocks.of(d, 64)
+    numbers = blocks.number(pa.array([*sorted(ids), None, None]), np.array([0] * len(ids) + [0, 2**32 - 1], np.uint32))
+    assert numbers[-2:].tolist() == [-64, -1] and (np.diff(numbers[:-2]) >= 0).all()
+    assert max(Counter(numbers.tolist()).values()) < 300
+    got = N.fingerprint_report(d, block_docs=64).collect()
+    assert sorted(x.doc_id for x in got if x.doc_id is not None) == sorted(ids) and len(got) == len(ids) + 300
+    at = {x.doc_id: x for x in got}
+    assert at[2**63 - 1].edited_fingerprint and at[1999].n_chars == 5
+    order = [*range(1995, 2000), 10**15, 2**63 - 1]
+    for i, k in zip(order, order[1:]):
+        t, n = f"t{i}", len(f"t{i}") // 4
+        assert at[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + f"t{k}"[:n]).encode()).hexdigest()
