@@ -7,10 +7,11 @@ anchors are compared, and with them the strings around that share the anchor.
 1. Anchors: each chunk of documents sends its distinct gram hashes to buckets, packed; buckets
    answer with the anchors that more than one place has. The rest can't repeat.
 2. Suffixes: around each such anchor the strings that it stands for are sent on. Sampled splitters
-   range-partition them by the suffix's leading bytes; each bucket sorts its suffixes by multikey
-   quicksort over eight-byte characters. Splitters are as long as one such character and equal
-   characters go one way, so no match lies across a boundary; strings whose right or left parts
-   differ are compared one by one. The least doc_id of each string keeps it.
+   range-partition them by the leading bytes of the suffix at the anchor; each bucket sorts by
+   multikey quicksort over eight-byte characters, first the suffixes at anchors, then, where strings
+   differ around an anchor, the suffixes at each of their places. Neighbours with 50 bytes in common
+   are a run, whose least doc_id keeps it. Splitters are as long as one character and equal ones go
+   one way; with its anchor each 50-byte string has one bucket, so no run lies across a boundary.
 3. Each document's spans are united and cut. They travel packed by parts of the documents.
 
 What repeats inside a chunk is settled there: a string that a third of all documents hold is sent
@@ -35,8 +36,8 @@ from paperloom.llm.winnow import BASE
 LENGTH, GRAM = 50, 24
 #: Text bytes that a bucket has on average; ranges of leading bytes (more buckets split ranges by hash).
 BUCKET_BYTES, MOST_RANGES = 8 << 20, 4096
-#: Documents whose anchors the splitters are taken from.
-SAMPLE_DOCS = 400
+#: Documents, about, whose anchors the splitters are taken from, and anchors of each.
+SAMPLE_DOCS, SAMPLE_EACH = 400, 256
 #: Parts of the documents, for each shuffle partition, whose spans are united at once.
 PARTS = 4
 FLAG = np.uint32(1 << 31)
@@ -255,19 +256,24 @@ REMOVED = "part int, r_ids binary, r_ties binary, counts binary, spans binary"
 REMOVED_NAMES = [x.split()[0] for x in REMOVED.split(", ")]
 
 
-def _spans(found: dict[tuple[int, int], list[int]], parts: int) -> pa.RecordBatch:
-    """The spans of many documents, packed in one row for each part of the documents."""
-    keys = list(found)
-    pair = np.array(keys, np.int64).reshape(-1, 2)
-    part = (mix(pair[:, 0] ^ pair[:, 1]) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
+def _spans(ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, ends: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The spans of many documents, united and packed in one row for each part of the documents."""
+    part = (mix(ids ^ ties) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((starts, ties, ids, part))
+    ids, ties, starts, ends, part = ids[order], ties[order], starts[order].astype(np.int64), ends[order].astype(np.int64), part[order]
+    opens = np.concatenate([[True], (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])])
+    doc = np.cumsum(opens) - 1
+    reach = np.maximum.accumulate((doc << 33) + ends)
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] << 33) + starts[1:] > reach[:-1]]))
+    held = np.stack([starts[first], reach[np.append(first[1:], len(ids)) - 1] - (doc[first] << 33)], 1).astype("<u4")
+    at = np.flatnonzero(opens)
+    counts = np.bincount(doc[first])
+    after = np.concatenate([[0], np.cumsum(counts)])
+    edges = np.flatnonzero(np.concatenate([[True], part[at][1:] != part[at][:-1], [True]]))
     rows = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        own = order[a:b]
-        spans = [np.array(found[keys[k]], "<u4") for k in own.tolist()]
-        counts = np.array([len(x) for x in spans], "<u4")
-        rows.append((int(part[own[0]]), pair[own, 0].astype("<i8").tobytes(), pair[own, 1].astype("<i8").tobytes(), counts.tobytes(), np.concatenate(spans).tobytes()))
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = at[x:y]
+        rows.append((int(part[own[0]]), ids[own].astype("<i8").tobytes(), ties[own].astype("<i8").tobytes(), (2 * counts[x:y]).astype("<u4").tobytes(), held[after[x] : after[y]].tobytes()))
     kinds = [pa.int32(), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=REMOVED_NAMES)
 
@@ -296,69 +302,85 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _unite_part(held)
 
 
-def _settle(rows: list[dict]) -> dict[tuple[int, int], list[int]]:
-    """The spans that the strings of one bucket lose: those that occur under a smaller id."""
+def suffix_runs(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The run of each suffix: in sorted order, suffixes whose neighbours have ``length`` bytes in common."""
+    places = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+    return multikey_groups([leading(data, at + k) for k in places])
+
+
+def least_in(run: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row the least id of its run."""
+    _, inverse = np.unique(run, return_inverse=True)
+    out = np.full(int(inverse.max()) + 1 if len(inverse) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(out, inverse, ids)
+    return out[inverse]
+
+
+def repeat_ranges(firsts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of firsts[k], firsts[k] + 1, ... counts[k] times for each row k."""
+    ends = np.cumsum(counts)
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.repeat(firsts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _settle(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, ties, starts, ends): what the strings of one bucket lose, as they occur under a smaller id.
+
+    The suffixes at anchors are sorted first: a string whose anchor no other string has is repeated
+    whole or not at all. Where different strings share one, the suffixes at all their places are
+    sorted; those with LENGTH bytes in common with their neighbour are one run, which its least
+    doc_id keeps.
+    """
     def column(name: str, kind: str) -> np.ndarray:
         return np.concatenate([np.frombuffer(r[name], kind) for r in rows])
 
-    ids, ties, starts, places, sizes = column("doc_ids", "<i8"), column("ties", "<i8"), column("starts", "<u4"), column("anchors", "<u2"), column("sizes", "<u4").astype(np.int64)
+    ids, ties, starts, places, sizes = column("doc_ids", "<i8"), column("ties", "<i8"), column("starts", "<u4").astype(np.int64), column("anchors", "<u2").astype(np.int64), column("sizes", "<u4").astype(np.int64)
     held = b"".join(_unpack(r["strings"]) for r in rows)
     ends = np.cumsum(sizes)
-    begins = ends - sizes
     data = np.frombuffer(held, np.uint8)
-    suffix = begins + places
-    group = multikey_groups([leading(data, suffix + k) for k in range(0, GRAM, 8)])
-    order = np.lexsort((ids, group))
-    cuts = np.flatnonzero(np.diff(group[order])) + 1
-    bounds = np.concatenate([[0], cuts, [len(order)]])
-    lost: dict[tuple[int, int], list[int]] = {}
-    at, b, n, i, t, s = order.tolist(), begins.tolist(), sizes.tolist(), ids.tolist(), ties.tolist(), starts.tolist()
-    for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
-        members = at[bounds[k] : bounds[k + 1]]
-        classes: dict[bytes, list[int]] = {}
-        for e in members:
-            classes.setdefault(held[b[e] : b[e] + n[e]], []).append(e)
-        least: dict[bytes, int] = {}
-        if len(classes) > 1:
-            for string, own in classes.items():
-                for w in range(len(string) - LENGTH + 1):
-                    key = string[w : w + LENGTH]
-                    least[key] = min(least.get(key, i[own[0]]), i[own[0]])
-        for string, own in classes.items():
-            if len(classes) == 1:
-                for e in own:
-                    if i[e] > i[own[0]]:
-                        lost.setdefault((i[e], t[e]), []).extend((s[e], s[e] + n[e]))
-                continue
-            firsts = [least[string[w : w + LENGTH]] for w in range(len(string) - LENGTH + 1)]
-            for e in own:
-                for w, m in enumerate(firsts):
-                    if m < i[e]:
-                        spans = lost.setdefault((i[e], t[e]), [])
-                        if spans and spans[-2] <= s[e] + w <= spans[-1]:
-                            spans[-1] = s[e] + w + LENGTH
-                        else:
-                            spans.extend((s[e] + w, s[e] + w + LENGTH))
-    return lost
+    # equal strings are one: its occurrences differ in their documents only
+    strings = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(held)])
+    which = strings.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    _, one = np.unique(which, return_index=True)
+    begins = (ends - sizes)[one]
+    keeper = least_in(which, ids)
+    anchor = suffix_runs(data, begins + places[one], GRAM)
+    _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
+    alone = members[group] == 1
+    whole = alone[which] & (ids > keeper)
+    several = np.flatnonzero(~alone)
+    windows = np.where(alone, 0, sizes[one] - LENGTH + 1)
+    _, at = repeat_ranges(begins[several], windows[several])
+    run = suffix_runs(data, at, LENGTH)
+    first = np.cumsum(windows) - windows
+    least = least_in(run, np.repeat(keeper[one][several], windows[several]))
+    entry = np.flatnonzero(~alone[which])
+    row, place = repeat_ranges(first[which[entry]], windows[which[entry]])
+    lost = least[place] < ids[entry][row]
+    # neighbouring lost places are one span
+    opens = lost & np.concatenate([[True], ~lost[:-1] | (row[1:] != row[:-1])]) if len(lost) else lost
+    closes = lost & np.concatenate([~lost[1:] | (row[1:] != row[:-1]), [True]]) if len(lost) else lost
+    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+    own = entry[row[a]]
+    offset = first[which[own]]
+    return (np.concatenate([ids[whole], ids[own]]), np.concatenate([ties[whole], ties[own]]),
+            np.concatenate([starts[whole], starts[own] + place[a] - offset]), np.concatenate([(starts + sizes)[whole], starts[own] + place[b] - offset + LENGTH]))
 
 
 def _settle_strings(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     now, held = None, []
     for bucket, row in _by_bucket(batches):
         if bucket != now:
-            if held and (lost := _settle(held)):
-                yield _spans(lost, parts)
+            if held and len((lost := _settle(held))[0]):
+                yield _spans(*lost, parts)
             now, held = bucket, []
         if row["done"]:
-            ids, ties, starts, sizes = (np.frombuffer(row[k], x).tolist() for k, x in (("doc_ids", "<i8"), ("ties", "<i8"), ("starts", "<u4"), ("sizes", "<u4")))
-            lost = {}
-            for a, b, s, n in zip(ids, ties, starts, sizes, strict=True):
-                lost.setdefault((a, b), []).extend((s, s + n))
-            yield _spans(lost, parts)
+            ids, ties, starts, sizes = (np.frombuffer(row[k], x) for k, x in (("doc_ids", "<i8"), ("ties", "<i8"), ("starts", "<u4"), ("sizes", "<u4")))
+            yield _spans(ids, ties, starts, starts + sizes, parts)
         else:
             held.append(row)
-    if held and (lost := _settle(held)):
-        yield _spans(lost, parts)
+    if held and len((lost := _settle(held))[0]):
+        yield _spans(*lost, parts)
 
 
 # --- 3: what is left -----------------------------------------------------------------------------
@@ -376,14 +398,22 @@ def united(spans: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(pairs[at, 0].tolist(), reach[np.append(at[1:], len(pairs)) - 1].tolist(), strict=True))
 
 
-def splitters_of(docs: DataFrame, ranges: int) -> np.ndarray:
-    """Leading characters that part the sampled anchors' suffixes evenly."""
-    rows = docs.select("text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
-    found = []
-    for r in rows:
-        data = np.frombuffer(r.text[:20_000].encode(), np.uint8)  # of the sample only
-        found.append(leading(data, anchors(data)[0]))
-    every = np.sort(np.concatenate(found or [np.zeros(0, np.uint64)]))
+def splitters_of(docs: DataFrame, n: int, ranges: int) -> np.ndarray:
+    """Leading characters that part the sampled anchors' suffixes evenly; documents are chosen by hash.
+
+    Texts stay where they are: at most SAMPLE_EACH characters a document come to the driver.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            data, at = raw(batch.column(0))
+            found = []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own = leading(data[a:b], anchors(data[a:b])[0])
+                found.append(own[np.unique(np.linspace(0, len(own) - 1, SAMPLE_EACH).astype(int))] if len(own) > SAMPLE_EACH else own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["lead"])
+
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE_DOCS))) == 0).select("text")
+    every = np.sort(chosen.mapInArrow(run, "lead bigint").toArrow().column(0).to_numpy().view(np.uint64))
     return np.unique(every[np.linspace(0, len(every) - 1, ranges + 1).astype(int)[1:-1]]) if len(every) else every
 
 
@@ -397,12 +427,12 @@ def removed(docs: DataFrame) -> DataFrame:
     # no cast where none is needed: it would set the two uses of ``known`` apart, and both be shuffled
     doc_id = "doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("bigint").alias("doc_id")
     plain = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    total = plain.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    n, total = plain.agg(F.count("doc_id"), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()
     buckets = max(16, -(-total // BUCKET_BYTES))
     ranges = min(buckets, MOST_RANGES)
     subs = -(-buckets // ranges)
     known = plain.where("doc_id IS NOT NULL")
-    splitters = spark.sparkContext.broadcast(splitters_of(known, ranges))  # at most MOST_RANGES numbers
+    splitters = spark.sparkContext.broadcast(splitters_of(known, n, ranges))  # at most MOST_RANGES numbers
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = known.mapInArrow(lambda it: _send_anchors(it, buckets), SENT)
     answers = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_anchors, SENT)

@@ -71,3 +71,29 @@ def test_multikey_groups():
 
 def test_empty_table(spark):
     assert U.suffix_report(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def settled(docs):
+    """The bytes that one bucket with all strings of ``docs`` (id, text) settles as lost."""
+    entries = []
+    for i, t in docs:
+        data = np.frombuffer(t.encode(), np.uint8)
+        for p, _, a, b in zip(*U.anchors(data), strict=True):
+            entries.append((i, 0, int(a), int(p - a), t.encode()[a : b + 50]))
+    ids, _, starts, ends = U._settle([dict(zip(U.STRING_NAMES, U._packed(0, entries, False), strict=True))])
+    lost = {i: set() for i, _ in docs}
+    for i, a, b in zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        lost[i].update(range(a, b))
+    return lost
+
+
+def test_the_sorted_suffixes_decide(monkeypatch):
+    r = random.Random(5)
+    base = "".join(r.choices("abcdefgh ", k=300))
+    docs = [(k, "".join(r.choices("abcdefgh ", k=r.randrange(40))) + base[(a := r.randrange(150)) : a + r.randrange(50, 150)] + "".join(r.choices("abcdefgh ", k=40))) for k in range(40)]
+    want = {i: n for (i, _, n, _, _) in brute(docs)}
+    assert {i: len(x) for i, x in settled(docs).items()} == want
+    whole = U.multikey_groups
+    for broken in (lambda columns: np.zeros(len(columns[0]), np.int64), lambda columns: np.arange(len(columns[0])), lambda columns: whole(columns[:1])):
+        monkeypatch.setattr(U, "multikey_groups", broken)
+        assert {i: len(x) for i, x in settled(docs).items()} != want
