@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import checkpointed, chunks
+from paperloom.llm.common import checkpointed, chunks, skew_join
 
 LEAST_WORDS = 6
 LINE = re.compile(r"[^\n]*\n|[^\n]+\Z")
@@ -148,11 +148,11 @@ def repeated(docs: DataFrame, unit: str = "all", least_words: int = LEAST_WORDS)
     """doc_id, ats (offsets at, to of the units to remove) for documents that have any.
 
     Digests are counted with partial sums on the map side, and only those met twice are joined back;
-    a digest that a third of the documents hold is one row there, and its other side can be split.
+    the units of a digest that many documents hold stay where they are (``skew_join``).
     """
     found = checkpointed(unit_table(docs, unit, least_words))
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at", "to")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = found.join(first, ["h1", "h2"]).where("doc_id <> first.doc_id OR " + ("at >= first.to" if unit == "all" else "at <> first.at"))
+    first = checkpointed(found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at", "to")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    again = skew_join(found, first, ["h1", "h2"], found.count()).where("doc_id <> first.doc_id OR " + ("at >= first.to" if unit == "all" else "at <> first.at"))
     return again.groupBy("doc_id").agg(F.collect_set(F.struct("at", "to")).alias("ats"))
 
 

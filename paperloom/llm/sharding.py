@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import unused
+
 #: Slots; a prime, and over a hundred times the shards, so that shares differ by 1 % at most.
 TABLE_SIZE = 65_537
 SHARDS = 128
@@ -53,10 +55,11 @@ def placed(df: DataFrame, key: Column, shards: list[str], size: int = TABLE_SIZE
     share a shard, a null key is hashed like any other; an empty table stays empty.
     """
     named = [(slot, shards[k]) for slot, k in enumerate(fill(shards, size))]
-    lookup = df.sparkSession.createDataFrame(named, "__slot int, __shard string")
-    slotted = df.drop("shard_slot", "shard").withColumn("__slot", F.pmod(F.xxhash64(key), F.lit(size)).cast("int"))
-    joined = slotted.join(F.broadcast(lookup), "__slot")
-    return joined.withColumnsRenamed({"__slot": "shard_slot", "__shard": "shard"})
+    lookup = df.sparkSession.createDataFrame(named, "shard_slot int, shard string")
+    slot = F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
+    kept = [c for c in df.columns if c.lower() not in ("shard_slot", "shard")]
+    slotted = df.select(*[F.col(f"`{c}`") for c in kept], slot.alias("shard_slot"))
+    return slotted.join(F.broadcast(lookup), "shard_slot").select(*[f"`{c}`" for c in kept], "shard_slot", "shard")
 
 
 def document_key() -> Column:
@@ -70,12 +73,13 @@ def shard_names(n: int = SHARDS) -> list[str]:
 
 def place_documents(docs: DataFrame, n: int = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
     """doc_id, n_bytes, shard_slot, shard for every row; null text has null n_bytes."""
-    slim = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), document_key().alias("__key"))
-    return placed(slim, F.col("__key"), shard_names(n), size).select("doc_id", "n_bytes", "shard_slot", "shard")
+    slim = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), document_key().alias("key"))
+    return placed(slim, F.col("key"), shard_names(n), size).select("doc_id", "n_bytes", "shard_slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str, n: int = SHARDS, size: int = TABLE_SIZE, salts: int = 1) -> None:
     """Writes one folder a shard; ``salts`` tasks write each, so no task has a whole large shard."""
-    out = placed(df.withColumn("__key", document_key()), F.col("__key"), shard_names(n), size)
-    salt = F.pmod(F.xxhash64("__key", F.lit("salt")), F.lit(salts))
-    out.repartition(n * salts, "shard", salt).drop("__key", "shard_slot").write.partitionBy("shard").parquet(path)
+    key = unused(df.columns, "key")
+    out = placed(df.withColumn(key, document_key()), F.col(key), shard_names(n), size)
+    salt = F.pmod(F.xxhash64(key, F.lit("salt")), F.lit(salts))
+    out.repartition(n * salts, "shard", salt).drop(key, "shard_slot").write.partitionBy("shard").parquet(path)
