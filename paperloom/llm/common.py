@@ -18,6 +18,9 @@ CHUNK_BYTES = 1 << 20
 LARGE_CHUNK = 4 << 20
 
 
+#: Bytes as they are, but the six ASCII white-space characters as a space.
+SPACES = bytes(32 if x in b" \t\n\r\x0b\x0c" else x for x in range(256))
+
 #: Rows and bytes of an Arrow batch between Spark and its Python workers, where the session has the defaults.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608")}
 

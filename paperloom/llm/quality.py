@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import chunks, raw, words
-from paperloom.llm.tokenfiles import SPACES
+from paperloom.llm.common import SPACES, chunks, raw, words
 
 #: Hashed features; labelled rows that the model is fitted on (those of least hash of their id).
 SIZE, FIT_ROWS = 1 << 18, 6_000
