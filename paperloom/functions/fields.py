@@ -195,6 +195,52 @@ def difference_hash(values: Column, n: int = 64) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
+def wide_hash(bits: list[Column]) -> Column:
+    """Boolean columns as an array of bigint words, the first bit the highest of the first word."""
+    words = []
+    for first in range(0, len(bits), 64):
+        one = [F.when(b, F.lit((1 << (63 - k)) - (1 << 64 if k == 0 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, b in enumerate(bits[first : first + 64])]
+        words.append(reduce(lambda x, y: x.bitwiseOR(y), one))
+    return F.array(*words)
+
+
+def grid_hash(cells: Column, rows: int = 16, columns: int = 16) -> Column:
+    """The difference hash of a grid of rows x (columns + 1) cells: a bit is set where a cell is over the next one."""
+    at = lambda r, c: F.element_at(cells, r * (columns + 1) + c + 1)
+    return wide_hash([at(r, c) > at(r, c + 1) for r in range(rows) for c in range(columns)])
+
+
+def hash_digits(words: Column, n: int = 4) -> Column:
+    """The words as 16 hex digits each."""
+    return F.concat(*[F.lower(F.lpad(F.hex(words[k]), 16, "0")) for k in range(n)])
+
+
+def words_of_digits(digits: Column, n: int = 4) -> Column:
+    """Words from hex digits; null unless there are 16 for each."""
+    parts = [F.conv(F.substring(digits, 16 * k + 1, 16), 16, -10).cast("bigint") for k in range(n)]
+    return F.when(digits.rlike(f"^[0-9a-fA-F]{{{16 * n}}}$"), F.array(*parts))
+
+
+def wide_hamming(a: Column, b: Column, n: int = 4) -> Column:
+    """Differing bits of two fingerprints of n words."""
+    return reduce(lambda x, y: x + y, [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(n)])
+
+
+def wide_band(fp: Column, k: int, bands: int, n: int = 4) -> Column:
+    """The k-th of ``bands`` runs of bits of n words, numbered from the lowest bit of the first word; of runs over 64 bits a hash."""
+    first, last = k * 64 * n // bands, (k + 1) * 64 * n // bands
+    parts, at = [], first
+    while at < last:
+        word, low = divmod(at, 64)
+        width = min(64 - low, last - at)
+        part = F.shiftrightunsigned(fp[word], low)
+        parts.append((part if width == 64 else part.bitwiseAND(F.lit((1 << width) - 1)), at - first))
+        at += width
+    if last - first > 64:
+        return F.xxhash64(*[p for p, _ in parts])
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(p, shift) for p, shift in parts])
+
+
 def nudge_ok(draft: Column, name: Column, missing: Column, most: int = V.NUDGE_MAX_CHARS) -> Column:
     return (
         (F.coalesce(draft, F.lit("")) != "") & (F.length(draft) <= most) & ~draft.contains("[")

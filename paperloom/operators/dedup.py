@@ -10,13 +10,25 @@ from paperloom.functions import fields as C
 from paperloom.functions import tables as V
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """seq, duplicate_of: the latest earlier document of the same content (seq, content), null for the first.
+#: Runs of seq that the rows of one content are sorted in, and bits and bands of whole fingerprints.
+BLOCKS, WIDE_BITS = 16, 256
 
-    Keyed by the content's hash; each content's rows are sorted in one place.
+
+def exact_duplicates(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """seq, sha, duplicate_of: the latest earlier document of the same content (seq, content), null for the first.
+
+    Keyed by the content's hash. The rows of a content are sorted by runs of seq, so that one that
+    many documents hold is in several tasks; a run's first row follows the last of the runs before.
     """
-    w = W.partitionBy("sha").orderBy("seq")
-    return docs.select("seq", F.sha2("content", 256).alias("sha")).select("seq", "sha", F.lag("seq").over(w).alias("duplicate_of"))
+    bounds = docs.select(F.percentile_approx("seq", [k / blocks for k in range(1, blocks)], F.lit(1000)).alias("at")).first()[0] or []
+    block = F.lit(0)
+    for bound in sorted({*bounds}):
+        block = block + (F.col("seq") >= F.lit(bound)).cast("int")
+    hashed = docs.select("seq", F.sha2("content", 256).alias("sha"), block.alias("block"))
+    inner = hashed.withColumn("before", F.lag("seq").over(W.partitionBy("sha", "block").orderBy("seq")))
+    last = hashed.groupBy("sha", "block").agg(F.max("seq").alias("last"))
+    last = last.withColumn("earlier", F.max("last").over(W.partitionBy("sha").orderBy("block").rowsBetween(W.unboundedPreceding, -1))).drop("last")
+    return inner.join(last, ["sha", "block"], "left").select("seq", "sha", F.coalesce("before", "earlier").alias("duplicate_of"))
 
 
 def fingerprints(vectors: DataFrame, bits: int = 63) -> DataFrame:
@@ -130,3 +142,66 @@ def cleared_references(flags: DataFrame, deleted: DataFrame) -> DataFrame:
     gone = deleted.select(F.col("id").alias("gone_id"))
     joined = left.join(gone, F.col("duplicate_of") == F.col("gone_id"), "left")
     return joined.select("seq", F.when(F.col("gone_id").isNull(), F.col("duplicate_of")).alias("duplicate_of"))
+
+
+# --- whole fingerprints: 256 bits in four words ---------------------------------------------------
+
+
+def wide_prints(vectors: DataFrame, hashed: Column | None = None) -> DataFrame:
+    """``vectors`` with ``fp`` (array<bigint> of four words), by default of a 17-column grid of cells (``cells``)."""
+    return vectors.withColumn("fp", C.grid_hash(F.col("cells")) if hashed is None else hashed)
+
+
+def wide_links(prints: DataFrame, threshold: int = V.HAMMING_THRESHOLD, same_label: bool | None = None) -> DataFrame:
+    """(seq, cand, distance) of distinct fingerprints within ``threshold`` of 256 bits, each by its least seq, the later one first.
+
+    threshold + 1 bands (15 bits and more at 16): two such fingerprints agree in one at least. With
+    ``same_label`` only those of equal labels, or of different ones, are linked.
+    """
+    bands = threshold + 1
+    by = ["fp", *(["label"] if same_label is not None else [])]
+    nodes = prints.groupBy(*by).agg(F.min("seq").alias("node"))
+    banded = nodes.select("node", *by, F.posexplode(F.array(*[C.wide_band(F.col("fp"), k, bands) for k in range(bands)])).alias("band", "bits"))
+    a, b = banded.alias("a"), banded.alias("b")
+    first = F.expr("0")
+    for k in range(bands - 1, -1, -1):
+        first = F.when(C.wide_band(F.col("a.fp"), k, bands) == C.wide_band(F.col("b.fp"), k, bands), k).otherwise(first)
+    distance = C.wide_hamming(F.col("a.fp"), F.col("b.fp"))
+    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("b.node") < F.col("a.node")) & (distance <= threshold) & (F.col("a.band") == first)
+    if same_label is not None:
+        on = on & (F.col("a.label").eqNullSafe(F.col("b.label")) == F.lit(same_label))
+    return a.join(b, on).select(F.col("a.node").alias("seq"), F.col("b.node").alias("cand"), distance.cast("bigint").alias("distance"))
+
+
+def wide_nearest(prints: DataFrame, threshold: int = V.HAMMING_THRESHOLD) -> DataFrame:
+    """seq, duplicate_of, distance: the nearest earlier document within ``threshold`` bits, of equals the earliest.
+
+    The first document of a fingerprint has those of others, later ones have that first one: no pairs of copies.
+    """
+    nodes = prints.groupBy("fp").agg(F.min("seq").alias("node"))
+    best = wide_links(prints, threshold).groupBy("seq").agg(F.min(F.struct("distance", "cand")).alias("best"))
+    first = best.select("seq", F.col("best.cand").alias("duplicate_of"), F.col("best.distance").alias("distance"))
+    later = prints.select("seq", "fp").join(nodes, "fp").where("seq > node").select("seq", F.col("node").alias("duplicate_of"), F.lit(0).cast("bigint").alias("distance"))
+    return first.union(later)
+
+
+def wide_floor(prints: DataFrame, radii: tuple[int, ...] = (8, 16, 32, 64, 128, 256)) -> DataFrame:
+    """same_label, floor: the least distance of documents of equal and of different labels, over all pairs.
+
+    The banded search is widened until each class has a pair; a class without pairs has no row.
+    """
+    copies = prints.groupBy("fp", "label").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    shared = prints.groupBy("fp").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").limit(1).count()
+    out = [(same, 0) for same, n in ((True, copies), (False, shared)) if n]
+    for same in {True, False} - {s for s, _ in out}:
+        for radius in radii:
+            floor = wide_links(prints, radius, same).agg(F.min("distance")).first()[0]
+            if floor is not None:
+                out.append((same, floor))
+                break
+    return prints.sparkSession.createDataFrame(out, "same_label boolean, floor bigint")
+
+
+def calibrated(floors: DataFrame, threshold: int = V.HAMMING_THRESHOLD) -> DataFrame:
+    """floors with ``passes``: copies must be within the threshold, different documents beyond it."""
+    return floors.withColumn("passes", F.when(F.col("same_label"), F.col("floor") <= threshold).otherwise(F.col("floor") > threshold))

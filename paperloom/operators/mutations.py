@@ -138,9 +138,12 @@ def import_plan(rows: DataFrame, clients: DataFrame) -> DataFrame:
     """rows (seq, name) with ``action``: blank, dupe (in the table or earlier in the file, by folded name) or create."""
     key = F.lower(F.trim(F.coalesce("name", F.lit(""))))
     known = clients.select(F.lower(F.trim("name")).alias("known")).distinct()
-    ranked = rows.withColumn("key", key).withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("seq")))
-    joined = ranked.join(known, F.col("key") == F.col("known"), "left")
-    return joined.select("seq", "name", F.when(F.col("key") == "", "blank").when(F.col("known").isNotNull() | (F.col("rank") > 1), "dupe").otherwise("create").alias("action"))
+    keyed = rows.withColumn("key", key)
+    named = keyed.where("key <> ''")
+    first = named.groupBy("key").agg(F.min("seq").alias("first"))
+    joined = named.join(first, "key").join(known, F.col("key") == F.col("known"), "left")
+    told = F.when(F.col("known").isNotNull() | (F.col("seq") > F.col("first")), "dupe").otherwise("create")
+    return joined.select("seq", "name", told.alias("action")).union(keyed.where("key = ''").select("seq", "name", F.lit("blank")))
 
 
 def import_counts(plan: DataFrame) -> DataFrame:

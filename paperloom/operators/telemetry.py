@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,9 +15,16 @@ PROCESSED, CONFIRMED = ("extracted", "unrecognized"), "confirmed"
 
 
 def in_window(events: DataFrame, clock: DataFrame, hours: int) -> DataFrame:
-    """Events of the last ``hours`` hours before ``now``; later ones pass, those without a time don't."""
-    since = F.col("now") - F.make_dt_interval(F.lit(0), F.lit(hours))
-    return events.crossJoin(F.broadcast(clock)).where(F.col("ts") >= since)
+    """Events of the last ``hours`` hours before ``now``; later ones pass, those without a time don't.
+
+    The clock is read first, one value, so that the bound is a literal which reaches the scan.
+    """
+    row = clock.first()
+    now = row["now"] if row is not None else None
+    if now is None:
+        return events.where(F.lit(False))
+    since = F.expr(f"TIMESTAMP_NTZ '{now - timedelta(hours=hours):%Y-%m-%d %H:%M:%S.%f}'")
+    return events.where(F.col("ts") >= since)
 
 
 def hourly(events: DataFrame, clock: DataFrame, hours: int = 24) -> DataFrame:

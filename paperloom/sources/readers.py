@@ -48,15 +48,80 @@ def pending(docs: DataFrame) -> DataFrame:
     return docs.where("status = 'pending'").select("seq", "id", "image_path")
 
 
-def write_state(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_state(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Writes a new version of the state under ``path`` and returns its folder.
+
+    Versions are numbered; a version counts once its _SUCCESS file is there, so that a write that
+    fails leaves the one before. ``df`` may come from the version before. Older ones than ``keep`` go.
+    """
+    spark = df.sparkSession
+    done = state_versions(spark, path)
+    out = f"{path}/v{(done[-1] if done else 0) + 1:012d}"
+    df.write.mode("overwrite").parquet(out)
+    fs, root = _files(spark, path)
+    for old in done[: max(0, len(done) + 1 - keep)]:
+        fs.delete(_path(spark, f"{path}/v{old:012d}"), True)
+    return out
+
+
+def current_state(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version."""
+    done = state_versions(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no state under {path}")
+    return spark.read.parquet(f"{path}/v{done[-1]:012d}")
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    root = _path(spark, path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def state_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions, in order."""
+    fs, root = _files(spark, path)
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(_path(spark, f"{path}/{n}/_SUCCESS")))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The event log, one JSON object a line; blank and broken lines are left out."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    held = lines.select(F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"), F.try_parse_json("value").isNotNull().alias("ok"))
-    return held.where("ok AND e IS NOT NULL").select("e.*").withColumn("at", C.parse_timestamp(F.col("ts")))
+    """The event log, one JSON object a line, with ``seq``, the order of entry; blank and broken lines are left out.
+
+    seq is (file, start of its part, line): by file name, and in a file as written.
+    """
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("seq"))
+    lines = lines.where(F.trim("value") != "")
+    held = lines.select("seq", F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"), F.try_parse_json("value").isNotNull().alias("ok"))
+    return held.where("ok AND e IS NOT NULL").select("seq", "e.*").withColumn("at", C.parse_timestamp(F.col("ts")))
+
+
+def reportable(log: DataFrame) -> DataFrame:
+    """``read_events`` as the reports take it: ``ts`` a time without zone, missing counts 0, lists empty, flags false."""
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("fields_total", "fields_low_confidence", "fields_corrected")}
+    false = {c: F.coalesce(c, F.lit(False)) for c in ("manual_type_change", "retried")}
+    listed = {"corrected_keys": F.coalesce("corrected_keys", F.array().cast("array<string>"))}
+    return log.withColumn("ts", F.col("at").cast("timestamp_ntz")).drop("at").withColumns(zero | false | listed)
+
+
+def referred(traces: DataFrame) -> DataFrame:
+    """``read_traces`` with ``raw_ref``, the name that events know a trace by."""
+    return traces.withColumn("raw_ref", F.concat(F.lit("raws/"), F.col("doc_id"), F.lit(".json")))
+
+
+def calls(traces: DataFrame) -> DataFrame:
+    """One row for each call of ``read_traces``: doc_id, pos, seq, stage, retry, prompt, response, error."""
+    return traces.select("doc_id", F.posexplode("calls").alias("pos", "c")).select("doc_id", "pos", "c.seq", "c.stage", "c.retry", "c.prompt", "c.response", "c.error")
+
+
+def field_rows(docs: DataFrame) -> DataFrame:
+    """One row for each field of ``read_state``'s documents: doc_id, pos, key, value, corrected, original_value, low_confidence."""
+    return docs.select(F.col("id").alias("doc_id"), F.posexplode("fields").alias("pos", "f")).select("doc_id", "pos", "f.key", "f.value", "f.corrected", "f.original_value", "f.low_confidence")
 
 
 def append_events(df: DataFrame, path: str) -> None:
