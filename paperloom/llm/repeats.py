@@ -18,13 +18,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import checkpointed, chunks, skew_join
+from paperloom.llm.common import chunks
 
 LEAST_WORDS = 6
 LINE = re.compile(r"[^\n]*\n|[^\n]+\Z")
@@ -32,6 +34,8 @@ PARAGRAPH = re.compile(r"(?:[^\n]|\n(?![^\S\n]*\n))*(?:\n(?:[^\S\n]*\n)+|\n\Z|\Z
 SENTENCE = re.compile(r".*?(?:[.!?。！？]+(?:\s+|\Z)|\Z)", re.DOTALL)
 WORD = re.compile(r"\S+")
 UNITS = ("line", "sentence", "paragraph")
+#: Bytes of text whose units are pre-aggregated.
+UNIT_CHUNK = 2 << 20
 #: A sentence of more words has further cuts, after one word in CUT; its units have at least twice the least words.
 LONG, CUT = 24, 8
 
@@ -118,42 +122,58 @@ def counted(text: str, unit: str, least_words: int) -> list[tuple[int, int, str]
     return [(a, b, held) for a, b, held, n in units(text, unit, least_words) if n >= least_words]
 
 
-def _digest(unit: str) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass"))
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+UNIT = "h1 bigint, h2 bigint, doc_id bigint, at int, to int, sure array<struct<at: int, to: int>>"
+SPAN = pa.struct([("at", pa.int32()), ("to", pa.int32())])
+
+
+def _chunk_units(ids: list[int], texts: list[str | None], unit: str, least_words: int) -> pa.RecordBatch:
+    """Rows of UNIT: of each digest the least (doc_id, at) of the chunk, and what can't go for it alone.
+
+    All other units of the chunk surely go, as they have one before them in another document or ended
+    before them in their own: they travel by document (``sure``), under a digest of no unit.
+    """
+    first: dict[bytes, tuple[int, int, int]] = {}
+    rows: list[tuple[bytes, int, int, int]] = []
+    sure: dict[int, list[tuple[int, int]]] = {}
+    digest = xxhash.xxh3_128_digest
+    for k in sorted(range(len(ids)), key=ids.__getitem__):
+        doc_id = ids[k]
+        for a, b, held in sorted(counted(texts[k] or "", unit, least_words)):
+            d = digest(held.encode("utf-8", "surrogatepass"))
+            had = first.setdefault(d, (doc_id, a, b))
+            if had == (doc_id, a, b) or had[0] == doc_id and a < had[2]:
+                rows.append((d, doc_id, a, b))
+            else:
+                sure.setdefault(doc_id, []).append((a, b))
+    keys = np.frombuffer(b"".join([d for d, *_ in rows] + [digest(f"{i} {len(rows)} {s}") for i, s in sure.items()]), "<i8").reshape(-1, 2)
+    spans = pa.array([None] * len(rows) + [[{"at": a, "to": b} for a, b in s] for s in sure.values()], pa.list_(SPAN))
+    at, to = ([r[n] for r in rows] + [0] * len(sure) for n in (2, 3))
+    return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([r[1] for r in rows] + [*sure], pa.int64()), pa.array(at, pa.int32()), pa.array(to, pa.int32()), spans], names=["h1", "h2", "doc_id", "at", "to", "sure"])
 
 
 def unit_table(docs: DataFrame, unit: str = "all", least_words: int = LEAST_WORDS) -> DataFrame:
-    """The units that count: h1, h2 (digest), doc_id, at, to (offsets in code points)."""
+    """The units that count, pre-aggregated by chunks of documents: h1, h2 (digest), doc_id, at, to (offsets in code points), sure."""
     if unit not in ("all", *UNITS):
         raise ValueError(f"unit is all or one of {UNITS}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            h1, h2, ids, at, to = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a, b, held in counted(text or "", unit, least_words):
-                    x, y = _digest(held)
-                    h1.append(x)
-                    h2.append(y)
-                    ids.append(doc_id)
-                    at.append(a)
-                    to.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(to, pa.int32())], names=["h1", "h2", "doc_id", "at", "to"])
+        for batch in chunks(batches, most=UNIT_CHUNK):
+            yield _chunk_units(batch.column(0).to_pylist(), batch.column(1).to_pylist(), unit, least_words)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, at int, to int")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL").mapInArrow(run, UNIT)
 
 
 def repeated(docs: DataFrame, unit: str = "all", least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, ats (offsets at, to of the units to remove) for documents that have any.
 
-    Digests are counted with partial sums on the map side, and only those met twice are joined back;
-    the units of a digest that many documents hold stay where they are (``skew_join``).
+    One shuffle by digest: in it a digest has one row for each chunk of documents that holds it, even
+    where a third of all rows do, and the first in rank keeps it.
     """
-    found = checkpointed(unit_table(docs, unit, least_words))
-    first = checkpointed(found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at", "to")).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    again = skew_join(found, first, ["h1", "h2"], found.count()).where("doc_id <> first.doc_id OR " + ("at >= first.to" if unit == "all" else "at <> first.at"))
-    return again.groupBy("doc_id").agg(F.collect_set(F.struct("at", "to")).alias("ats"))
+    w = W.partitionBy("h1", "h2").orderBy("doc_id", "at", "to")
+    ranked = unit_table(docs, unit, least_words).withColumns({"first_id": F.first("doc_id").over(w), "first_to": F.first("to").over(w)})
+    gone = ranked.where("sure IS NOT NULL OR doc_id <> first_id OR at >= first_to")
+    spans = F.coalesce("sure", F.array(F.struct("at", "to")))
+    return gone.groupBy("doc_id").agg(F.flatten(F.collect_list(spans)).alias("ats"))
 
 
 def removed(docs: DataFrame, unit: str = "all", least_words: int = LEAST_WORDS) -> DataFrame:
