@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from paperloom.llm.common import chunks
 
 LEAST_WORDS = 6
 LINE = re.compile(r"[^\n]*\n|[^\n]+\Z")
-PARAGRAPH = re.compile(r"(?:[^\n]|\n(?![^\S\n]*\n))*(?:\n(?:[^\S\n]*\n)+|\n\Z|\Z)")
+BLANK = re.compile(r"\n(?:[^\S\n]*\n)+")
 SENTENCE = re.compile(r".*?(?:[.!?。！？]+(?:\s+|\Z)|\Z)", re.DOTALL)
+SENTENCE_END = re.compile(r"[.!?。！？]+(?:\s+|\Z)")
 WORD = re.compile(r"\S+")
 UNITS = ("line", "sentence", "paragraph")
 #: Bytes of text whose units are pre-aggregated.
@@ -40,39 +42,48 @@ UNIT_CHUNK = 2 << 20
 LONG, CUT = 24, 8
 
 
+def lines(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in LINE.finditer(text)]
+
+
+def paragraphs(text: str) -> list[tuple[int, int]]:
+    """Spans that end with a blank line, or the text."""
+    ends = [m.end() for m in BLANK.finditer(text)]
+    if text and (not ends or ends[-1] < len(text)):
+        ends.append(len(text))
+    return list(zip([0, *ends], ends, strict=False))
+
+
 def units(text: str, unit: str = "sentence", least_words: int = LEAST_WORDS) -> list[tuple[int, int, str, int]]:
     """(start, end, normalised unit, words) of all units; together they are the whole text."""
     out: list[tuple[int, int, str, int]] = []
-    for m in (PARAGRAPH if unit == "paragraph" else LINE).finditer(text):
-        if m.end() == m.start():
-            continue
+    for start, end in (paragraphs if unit == "paragraph" else lines)(text):
         if unit != "sentence":
-            ws = m[0].lower().split()
-            out.append((m.start(), m.end(), " ".join(ws), len(ws)))
+            ws = text[start:end].lower().split()
+            out.append((start, end, " ".join(ws), len(ws)))
             continue
-        first, held = m.start(), []
-        for s in SENTENCE.finditer(text, m.start(), m.end()):
+        first, held = start, []
+        for s in SENTENCE.finditer(text, start, end):
             held += s[0].lower().split()
-            if s.end() > first and (len(held) >= least_words or s.end() == m.end()):
+            if s.end() > first and (len(held) >= least_words or s.end() == end):
                 out.append((first, s.end(), " ".join(held), len(held)))
                 first, held = s.end(), []
     return out
 
 
-def _runs(parts: list[tuple[int, int, list[str]]], least: int) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words) of the shortest runs of parts with ``least`` words, onwards and back from each part."""
-    sizes = [len(ws) for _, _, ws in parts]
-    spans, last, held = set(), 0, 0
-    for first in range(len(parts)):
-        while last < len(parts) and held < least:
+def _runs(sizes: list[int], least: int) -> set[tuple[int, int]]:
+    """(first, last) of the shortest runs of parts with ``least`` words, onwards and back from each part."""
+    spans, last, held, n = set(), 0, 0, len(sizes)
+    for first in range(n):
+        while last < n and held < least:
             held += sizes[last]
             last += 1
         if held < least:
             break
         spans.add((first, last))
         held -= sizes[first]
-    first, held = len(parts), 0
-    for last in range(len(parts), 0, -1):
+    first, held = n, 0
+    for last in range(n, 0, -1):
         while first > 0 and held < least:
             first -= 1
             held += sizes[first]
@@ -80,46 +91,58 @@ def _runs(parts: list[tuple[int, int, list[str]]], least: int) -> Iterator[tuple
             break
         spans.add((first, last))
         held -= sizes[last - 1]
-    for a, b in spans:
-        yield parts[a][0], parts[b - 1][1], [w for _, _, ws in parts[a:b] for w in ws]
-
-
-def _cut(text: str, start: int, end: int) -> list[tuple[int, int, list[str]]]:
-    """A long sentence's parts: it is cut after a word if the hash of it and the two before it says so."""
-    spans = [m.span() for m in WORD.finditer(text, start, end)]
-    ws = [text[a:b].lower() for a, b in spans]
-    out, first = [], 0
-    for k in range(len(ws)):
-        if k + 1 == len(ws) or k > 1 and xxhash.xxh3_64_intdigest(" ".join(ws[k - 2 : k + 1]).encode("utf-8", "surrogatepass")) % CUT == 0:
-            out.append((spans[first][0], spans[k + 1][0] if k + 1 < len(ws) else end, ws[first : k + 1]))
-            first = k + 1
-    return out
+    return spans
 
 
-def all_units(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, str]]:
-    """(start, end, normalised unit) of lines, paragraphs and runs of sentences; they overlap."""
-    out: set[tuple[int, int, str]] = set()
+def _cuts(norm: bytes, at: list[int], first: int, last: int) -> list[int]:
+    """Where a long sentence's parts end, in words: it is cut after a word if the hash of it and the two before it says so.
+
+    ``norm`` is the normalised line and ``at`` where its words begin; the sentence has words first..last-1.
+    """
+    digest = xxhash.xxh3_64_intdigest
+    return [k + 1 for k in range(first + 2, last - 1) if digest(norm[at[k - 2] : at[k + 1] - 1]) % CUT == 0] + [last]
+
+
+def all_units(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
+    """(start, end, normalised unit in UTF-8) of lines, paragraphs and runs of sentences; they overlap."""
+    out: set[tuple[int, int, bytes]] = set()
     for m in LINE.finditer(text):
-        ws = m[0].lower().split()
-        if not ws:
+        # lower-casing may change a word's length, never the words' number
+        norm = " ".join(m[0].lower().split()).encode("utf-8", "surrogatepass")
+        if not norm:
+            continue
+        out.add((m.start(), m.end(), norm))
+        ws = norm.split(b" ")
+        if len(ws) < least_words:
             continue
-        out.add((m.start(), m.end(), " ".join(ws)))
-        parts = [(s.start(), s.end(), s[0].lower().split()) for s in SENTENCE.finditer(text, m.start(), m.end()) if s.end() > s.start()]
-        out.update((a, b, " ".join(held)) for a, b, held in _runs(parts, least_words))
-        for a, b, held in parts:
-            if len(held) > LONG:
-                out.update((c, d, " ".join(x)) for c, d, x in _runs(_cut(text, a, b), 2 * least_words))
-    for m in PARAGRAPH.finditer(text):
-        if "\n" in m[0].strip() and len(ws := m[0].lower().split()) >= least_words:
-            out.add((m.start(), m.end(), " ".join(ws)))
+        at = [0, *accumulate([len(w) + 1 for w in ws])]
+        ends = [s.end() for s in SENTENCE_END.finditer(text, m.start(), m.end())]
+        if not ends or ends[-1] < m.end():
+            ends.append(m.end())
+        spans = list(zip([m.start(), *ends], ends, strict=False))
+        sizes = [len(text[x:y].split()) for x, y in spans] if len(spans) > 1 else [len(ws)]
+        first = [0, *accumulate(sizes)]
+        for x, y in _runs(sizes, least_words):
+            out.add((spans[x][0], spans[y - 1][1], norm[at[first[x]] : at[first[y]] - 1]))
+        for k, n in enumerate(sizes):
+            if n > LONG:
+                cuts = [first[k], *_cuts(norm, at, first[k], first[k + 1])]
+                begins = [w.start() for w in WORD.finditer(text, *spans[k])]
+                begins.append(spans[k][1])
+                for x, y in _runs([b - a for a, b in pairwise(cuts)], 2 * least_words):
+                    out.add((begins[cuts[x] - first[k]], begins[cuts[y] - first[k]], norm[at[cuts[x]] : at[cuts[y]] - 1]))
+    for a, b in paragraphs(text):
+        held = text[a:b]
+        if "\n" in held.strip() and len(ws := held.lower().split()) >= least_words:
+            out.add((a, b, " ".join(ws).encode("utf-8", "surrogatepass")))
     return sorted(out)
 
 
-def counted(text: str, unit: str, least_words: int) -> list[tuple[int, int, str]]:
+def counted(text: str, unit: str, least_words: int) -> list[tuple[int, int, bytes]]:
     """(start, end, normalised unit) of the units that count."""
     if unit == "all":
         return all_units(text, least_words)
-    return [(a, b, held) for a, b, held, n in units(text, unit, least_words) if n >= least_words]
+    return [(a, b, held.encode("utf-8", "surrogatepass")) for a, b, held, n in units(text, unit, least_words) if n >= least_words]
 
 
 UNIT = "h1 bigint, h2 bigint, doc_id bigint, at int, to int, sure array<struct<at: int, to: int>>"
@@ -138,8 +161,8 @@ def _chunk_units(ids: list[int], texts: list[str | None], unit: str, least_words
     digest = xxhash.xxh3_128_digest
     for k in sorted(range(len(ids)), key=ids.__getitem__):
         doc_id = ids[k]
-        for a, b, held in sorted(counted(texts[k] or "", unit, least_words)):
-            d = digest(held.encode("utf-8", "surrogatepass"))
+        for a, b, held in counted(texts[k] or "", unit, least_words):
+            d = digest(held)
             had = first.setdefault(d, (doc_id, a, b))
             if had == (doc_id, a, b) or had[0] == doc_id and a < had[2]:
                 rows.append((d, doc_id, a, b))
@@ -189,14 +212,16 @@ def removed(docs: DataFrame, unit: str = "all", least_words: int = LEAST_WORDS)
     at_text, at_size = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
     slim = plain.toDF(*[f"c{k}" for k in range(len(names))])
     cuts = repeated(docs, unit, least_words).withColumnRenamed("doc_id", "cut_id")
-    joined = slim.join(cuts, F.col(f"c{names.index('doc_id')}").cast("bigint") == F.col("cut_id"), "left").select(*slim.columns, "ats")
+    several = plain.groupBy(F.col("doc_id").cast("bigint").alias("cut_id")).agg((F.count("*") > 1).alias("several")).where("several")
+    cuts = cuts.join(several, "cut_id", "left")
+    joined = slim.join(cuts, F.col(f"c{names.index('doc_id')}").cast("bigint") == F.col("cut_id"), "left").select(*slim.columns, "ats", "several")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*slim.schema.fields, T.StructField("removed_spans", spans)])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns, ats = list(batch.columns[:-1]), batch.column(batch.num_columns - 1).to_pylist()
+            columns, ats, several = list(batch.columns[:-2]), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             made: list[list[dict]] = [[] for _ in ats]
             texts, sizes = None, None
             for k, starts in enumerate(ats):
@@ -206,13 +231,13 @@ def removed(docs: DataFrame, unit: str = "all", least_words: int = LEAST_WORDS)
                     texts = columns[at_text].to_pylist()
                     sizes = columns[at_size].to_pylist() if at_size >= 0 else None
                 gone, kept, last = {(x["at"], x["to"]) for x in starts}, [], 0
-                # rows of one doc_id may differ: each loses units of its own only
-                for a, b, _ in counted(texts[k] or "", unit, least_words):
-                    if (a, b) in gone:
-                        if made[k] and made[k][-1]["end"] >= a:
-                            made[k][-1]["end"] = max(b, made[k][-1]["end"])
-                        else:
-                            made[k].append({"start": a, "end": b})
+                if several[k]:  # rows of one doc_id may differ: each loses units of its own only
+                    gone &= {(a, b) for a, b, _ in counted(texts[k] or "", unit, least_words)}
+                for a, b in sorted(gone):
+                    if made[k] and made[k][-1]["end"] >= a:
+                        made[k][-1]["end"] = max(b, made[k][-1]["end"])
+                    else:
+                        made[k].append({"start": a, "end": b})
                 for s in made[k]:
                     kept.append(texts[k][last : s["start"]])
                     last = s["end"]
