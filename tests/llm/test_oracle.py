@@ -1,0 +1,21 @@
+"""What SQL can say of the corpus operators gives the same rows in another engine."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from paperloom.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows(spark, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    want, got = con.sql(ORACLE_SQL[name]), QUERIES[name](spark, SF)
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
