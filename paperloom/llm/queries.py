@@ -70,4 +70,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_benchmark_hits,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # 50-byte strings as 100 hex digits, the least doc_id of each, runs of the places that lose theirs
+    "op4_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  w AS (SELECT doc_id, k, substring(h, 2 * k + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS k FROM d WHERE length(h) >= 100)),
+  gone AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+  edge AS (SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 50 THEN 0 ELSE 1 END AS opens FROM gone),
+  run AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY k) AS r FROM edge) GROUP BY doc_id, r),
+  part AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM run),
+  kept AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS x FROM part JOIN d USING (doc_id) GROUP BY doc_id)
+  SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(x, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    # all windows of documents joined with those of the items, by their words
+    "op10_benchmark_hits": r"""WITH t AS (SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id, doc_id, text FROM documents UNION ALL SELECT 'i', CAST(item_id AS VARCHAR), NULL, text FROM benchmark),
+  w AS (SELECT side, id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM t),
+  i AS (SELECT id, ws, least(len(ws), 10) AS n FROM w WHERE side = 'i' AND len(ws) > 0),
+  iw AS (SELECT DISTINCT n, id, array_to_string(ws[k : k + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS k FROM i)),
+  d AS (SELECT doc_id, ws FROM w WHERE side = 'd'),
+  dw AS (SELECT doc_id, n, k, array_to_string(ws[k : k + n - 1], ' ') AS win FROM (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n)),
+  hit AS (SELECT doc_id, k, n, id FROM dw JOIN iw USING (n, win)),
+  c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY 1),
+  l AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM hit) GROUP BY 1)
+  SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""",
+}
