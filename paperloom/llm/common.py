@@ -54,6 +54,12 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder that ``shared_path`` named."""
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the shared folder, so that a lost executor loses nothing."""
     shared_dir(df.sparkSession)
