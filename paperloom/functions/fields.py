@@ -21,6 +21,7 @@ def _any(c: Column, parts: list[str]) -> Column:
 def normalize_doc_type(raw: Column) -> Column:
     """The document type that a free answer names; the first rule that holds wins, null and others UNRECOGNIZED."""
     t = F.lower(F.trim(raw))
+    # What names which type, the first that holds.
     rules = [(_has(t, "1099", word), f"1099-{word.upper()}") for word in ("nec", "int", "misc", "div")]
     rules += [(t.rlike(rf"1099[\s\-]?{x}\b"), f"1099-{x.upper()}") for x in "rgb"]
     rules += [
@@ -102,8 +103,9 @@ def looks_like_label(value: Column, phrases: list[str] | None = None) -> Column:
     """Blank, a label, or for labels of several words contained in one or containing one."""
     phrases = label_phrases() if phrases is None else phrases
     v = norm_string(F.coalesce(value, F.lit("")))
-    several = F.array(*[F.lit(p) for p in phrases if " " in p])
-    return (v == "") | v.isin(phrases) | F.exists(several, lambda p: v.contains(p) | p.contains(v))
+    several = [p for p in phrases if " " in p]
+    # normalised values hold no line breaks: one search for "in a label", one pattern for "holds a label"
+    return (v == "") | v.isin(phrases) | F.lit("\n".join(several)).contains(v) | v.rlike("|".join(several))
 
 
 def fields_agree(key: Column, a: Column, b: Column) -> Column:
@@ -250,6 +252,7 @@ def nudge_ok(draft: Column, name: Column, missing: Column, most: int = V.NUDGE_M
 
 def nudge_template(name: Column, missing: Column) -> Column:
     one = F.size(missing) == 1
+    # The wording of the reminder.
     return F.concat(
         F.lit("Hi "), name, F.lit(",\n\nAs we prepare your tax return, we're still missing the following document"), F.when(one, "").otherwise("s"), F.lit(":\n\n"),
         F.array_join(F.transform(missing, lambda m: F.concat(F.lit("- "), m, F.lit("\n"))), ""),

@@ -23,6 +23,7 @@ FIELD_SCHEMA = {
 MONEY_TOKENS = ["box", "wage", "income", "comp", "interest", "withheld", "mortgage"]
 CATEGORY_MONEY_TOKENS = ["box", "wage", "income", "comp", "interest"]
 CATEGORIES = ["money", "tin_ssn", "names", "doc_type"]
+# Display labels.
 FIELD_LABELS = {
     "employer": "Employer", "ein": "EIN", "employee_name": "Employee", "ssn": "SSN", "box1_wages": "Wages (Box 1)",
     "box2_fed_withheld": "Fed. tax withheld (Box 2)", "payer": "Payer", "recipient": "Recipient", "recipient_tin": "Recipient TIN",
@@ -35,6 +36,7 @@ FIELD_LABELS = {
 CSV_COLUMNS = ["client_id", "client_name", "doc_id", "doc_type", "received_at", "field_key", "field_label", "value", "corrected", "original_value", "low_confidence"]
 PAYER_LABEL = "PAYER'S name street address city or town state or province country ZIP or foreign postal code and telephone no."
 LENDER_LABEL = "RECIPIENT'S/LENDER'S name street address city or town state or province country ZIP or foreign postal code and telephone no."
+# Regions of the forms.
 #: (document type, field, box as fractions x0 y0 x1 y1, label)
 REGIONS = [
     ("W-2", "ssn", (0.1755, 0.0860, 0.4931, 0.1805), "Employee's social security number"),
@@ -57,11 +59,13 @@ REGIONS = [
     ("K-1", "partner_name", (0.0657, 0.3737, 0.4275, 0.4247), "Name, address, city, state, and ZIP code for partner entered in E"),
     ("K-1", "ordinary_income", (0.4036, 0.0878, 0.6859, 0.1388), "Ordinary business income (loss)"),
 ]
+# Phrases that stand on the forms.
 ROLE_PHRASES = [
     "payer's name", "recipient's name", "lender's name", "borrower's name", "employer's name", "employee's name", "partner's name",
     "partnership's name", "payer", "recipient", "lender", "borrower", "employer", "employee", "name", "street address",
     "ordinary business income", "wages tips other compensation", "interest income", "nonemployee compensation", "employer identification number",
 ]
+# What a new client is expected to send.
 ORGANIZER_TEMPLATE = ["W-2", "1099-NEC", "1099-INT", "1099-MISC", "K-1", "1098", "1099-DIV", "charitable receipt", "brokerage statement"]
 UPLOAD_EXTENSIONS = [".png", ".jpg", ".jpeg", ".webp", ".gif", ".bmp"]
 INBOX_EXTENSIONS = [".png", ".jpg", ".jpeg", ".pdf"]

@@ -301,3 +301,44 @@ def duplicates_in_runs(spark, sf):
 
 
 SQL["duplicates_in_runs"] = "SELECT doc_id AS seq, lag(doc_id) OVER (PARTITION BY CASE WHEN doc_id % 3 = 0 THEN 'the same' ELSE text END ORDER BY doc_id) AS duplicate_of FROM documents"
+
+
+# --- rules over whole tables ---
+
+
+@query
+def money_of_lines(spark, sf):
+    n, x = F.col("l_linenumber"), F.col("l_extendedprice")
+    shown = F.when(n % 4 == 0, F.concat(F.lit("$"), F.format_number(x, 2))).when(n % 4 == 1, F.concat(F.lit("- "), F.format_string("%.2f", x))).when(n % 4 == 2, F.concat(F.lit("("), F.format_string("%.2f", x), F.lit(")"))).otherwise(F.concat(F.format_string("%.2f", x), F.lit("e1")))
+    return D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", C.parse_money(shown).alias("amount"), C.is_money_label(shown).alias("label"))
+
+
+SQL["money_of_lines"] = """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN CAST(printf('%.2f', l_extendedprice) AS DOUBLE) WHEN 1 THEN CAST('-' || printf('%.2f', l_extendedprice) AS DOUBLE) WHEN 3 THEN CAST(printf('%.2f', l_extendedprice) || 'e1' AS DOUBLE) END AS amount,
+  l_linenumber % 4 = 0 AS label FROM lineitem"""
+
+
+@query
+def formats_of_orders(spark, sf):
+    n = F.col("o_orderkey")
+    ssn = F.format_string("%03d-%02d-%04d", (n % 1000).cast("int"), (n % 100).cast("int"), (n % 10000).cast("int"))
+    key = _pick(["ssn", "recipient_tin", "box1_wages", "payer"], n)
+    value = F.when(n % 3 == 0, ssn).when(n % 3 == 1, F.translate(ssn, "-", "")).otherwise(F.col("o_orderpriority"))
+    return D.table(spark, sf, "orders").select("o_orderkey", C.field_format_ok(key, value).alias("ok"), C.mask_tin(value).alias("masked"))
+
+
+SQL["formats_of_orders"] = """WITH t AS (SELECT o_orderkey, o_orderkey % 4 AS k, o_orderkey % 3 AS v, o_orderpriority AS p FROM orders)
+  SELECT o_orderkey, CASE WHEN k = 3 THEN true WHEN v < 2 THEN k < 2 OR (k = 2 AND v = 1) ELSE false END AS ok,
+  CASE WHEN v < 2 THEN '•••-••-' || printf('%04d', o_orderkey % 10000) ELSE p END AS masked FROM t"""
+
+
+@query
+def answers_of_orders(spark, sf):
+    asked = F.concat(_pick(["This is a ", "form: ", ""], F.col("o_orderkey")), _pick(TYPES + ["1099 Nec", "W 9", "property tax"], F.col("o_custkey")), F.lit(" for "), "o_orderpriority")
+    return D.table(spark, sf, "orders").select("o_orderkey", C.normalize_doc_type(asked).alias("doc_type"))
+
+
+SQL["answers_of_orders"] = "SELECT o_orderkey, (['W-2', 'K-1', '1098', '1099-NEC', 'W-9', 'property tax statement'])[CAST(o_custkey % 6 AS INT) + 1] AS doc_type FROM orders"
+
+SQL["parse_model_json"] = r"""WITH a AS (SELECT p_partkey, trim((['{"doc_type": "W-2", "handwritten": true}', '```json' || chr(10) || '{"doc_type": "Form 1099-INT"}' || chr(10) || '```', 'Sure: {"doc_type": "K-1", "handwritten": "no"} done', 'no object', '{"doc_type": "W-9"}', '{"doc_type": ', '', '{"doc_type": null}',
+  '{"doc_type": "1098", "handwritten": "yes"}', '[1, 2]', '{"other": 1}'])[CAST(p_partkey % 11 AS INT) + 1]) AS t FROM part), b AS (SELECT p_partkey, substring(t, instr(t, '{'), length(t) - instr(reverse(t), '}') + 2 - instr(t, '{')) AS x, instr(t, '{') > 0 AND instr(t, '}') > 0 AS held FROM a)
+  SELECT p_partkey, CASE WHEN held AND json_valid(x) THEN json_extract_string(x, '$.doc_type') END AS doc_type, coalesce(held AND json_valid(x), false) AS ok FROM b"""

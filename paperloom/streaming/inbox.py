@@ -28,28 +28,67 @@ def stable(polls: DataFrame) -> DataFrame:
     return polls.withColumn("stable", F.coalesce(same, F.lit(False)))
 
 
+def ledger_at(spark: SparkSession, path: str, batch: DataFrame | None = None) -> DataFrame:
+    """The ledger's rows; with a ``batch`` (sha256) only those of its digests' first two digits, which are folders."""
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(held):
+        return spark.createDataFrame([], LEDGER)
+    rows = spark.read.schema(f"{LEDGER}, part string").parquet(path)
+    if batch is not None:
+        parts = [r[0] for r in batch.select(F.substring("sha256", 1, 2)).distinct().collect()]  # 256 at most
+        rows = rows.where(F.col("part").isin(parts))
+    return rows.drop("part")
+
+
+def settle(batch: DataFrame, ledger_path: str) -> None:
+    """Adds what is new of a batch (name, content, at) to the ledger, in folders by digest."""
+    spark = batch.sparkSession
+    new = admit(batch, ledger_at(spark, ledger_path, batch.select(F.sha2("content", 256).alias("sha256"))))
+    new.withColumn("part", F.substring("sha256", 1, 2)).repartition("part").write.mode("append").partitionBy("part").parquet(ledger_path)
+
+
+def compacted(spark: SparkSession, ledger_path: str, to: str) -> None:
+    """Writes the ledger anew under ``to``, one file a folder."""
+    ledger_at(spark, ledger_path).withColumn("part", F.substring("sha256", 1, 2)).repartition("part").write.partitionBy("part").parquet(to)
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    name = F.element_at(F.split("path", "/"), -1)
+    return rows.withColumn("name", name).where(C.is_eligible(F.col("name"), V.INBOX_EXTENSIONS))
+
+
+def poll(spark: SparkSession, folder: str, ledger_path: str, polls_path: str, number: int) -> None:
+    """One look at the folder: files whose size and time are as at the look before are taken in.
+
+    A file that still grows waits for the next look. A look that is run again with its number does the same.
+    """
+    files = _listed(spark.read.format("binaryFile").load(folder))
+    seen = files.select("name", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    seen.write.mode("overwrite").parquet(f"{polls_path}/poll={number}")
+    looks = spark.read.schema("name string, size bigint, mtime timestamp, poll bigint").parquet(polls_path).where(F.col("poll").between(number - 1, number))
+    steady = stable(looks).where(F.col("stable") & (F.col("poll") == number)).select("name")
+    settle(files.join(steady, "name", "left_semi").select("name", "content", F.col("modificationTime").alias("at")), ledger_path)
+
+
 def watch(spark: SparkSession, folder: str, ledger_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Streams the folder into the ledger table; a batch that is run again adds nothing twice."""
+    """Streams the folder into the ledger table; a batch that is run again adds nothing twice.
+
+    Files are taken to be whole when they appear (moved in); ``watch_growing`` waits until they are.
+    """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    some = files.select(name.alias("name"), F.col("modificationTime").alias("at"), "content").where(C.is_eligible(F.col("name"), V.INBOX_EXTENSIONS))
-
-    def settle(batch: DataFrame, epoch: int) -> None:
-        held = batch.sparkSession
-        try:
-            ledger = held.read.schema(LEDGER).parquet(ledger_path)
-            ledger.limit(1).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            ledger = held.createDataFrame([], LEDGER)
-        admit(batch, ledger).write.mode("append").parquet(ledger_path)
-
-    out = some.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
+    files = _listed(spark.readStream.format("binaryFile").schema(schema).load(folder))
+    some = files.select("name", F.col("modificationTime").alias("at"), "content")
+    out = some.writeStream.foreachBatch(lambda batch, epoch: settle(batch, ledger_path)).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
+def watch_growing(spark: SparkSession, folder: str, ledger_path: str, polls_path: str, checkpoint: str, every: str = "2 seconds") -> StreamingQuery:
+    """Looks at the folder ``every`` so often and takes in files that have stopped to grow."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    out = ticks.writeStream.foreachBatch(lambda batch, epoch: poll(batch.sparkSession, folder, ledger_path, polls_path, epoch)).option("checkpointLocation", checkpoint)
+    return out.trigger(processingTime=every).start()
+
+
 def live_hours(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Streaming twin of the hourly timeline: processed documents and corrections for each hour of ``ts``."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w")).agg(

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import fields as C
 from paperloom.operators import dedup, evaluate, intake, mutations, reports, telemetry
 from paperloom.sources import readers
+from paperloom.streaming import inbox
 
 LOG = [
     {"ts": "2024-01-02T10:05:00Z", "type": "extracted", "doc_id": "doc_001", "doc_type": "W-2", "latency_s": 4.0, "fields_total": 5, "fields_low_confidence": 1, "retried": True, "model": "m", "preprocessed": True, "raw_ref": "raws/doc_001.json"},
@@ -169,3 +171,35 @@ def test_previews_percents_and_choices(spark):
     assert [r.file for r in reports.chosen(files, ["b", "é", "a"], 2).collect()] == ["a", "b"]
     assert [r.name for r in reports.by_name(files.withColumnRenamed("file", "name")).collect()] == ["B", "a", "b", "é"]
     assert '"W-2"' in reports.classify_prompt() and "UNRECOGNIZED" in reports.classify_prompt()
+
+
+def test_growing_files_wait(spark, tmp_path):
+    box, ledger, polls = tmp_path / "in", str(tmp_path / "ledger"), str(tmp_path / "polls")
+    box.mkdir()
+    (box / "a.png").write_bytes(b"whole")
+    (box / "b.png").write_bytes(b"part")
+    (box / "c.txt").write_bytes(b"other")
+
+    def look(n):
+        inbox.poll(spark, str(box), ledger, polls, n)
+        return sorted(r.name for r in inbox.ledger_at(spark, ledger).collect())
+
+    assert look(0) == []
+    (box / "b.png").write_bytes(b"part and more")
+    assert look(1) == ["a.png"] and look(1) == ["a.png"]
+    (box / "d.png").write_bytes(b"whole")  # a content that is known
+    assert look(2) == ["a.png", "b.png"] and look(3) == ["a.png", "b.png"]
+    inbox.compacted(spark, ledger, str(tmp_path / "small"))
+    assert sorted(r.name for r in inbox.ledger_at(spark, str(tmp_path / "small")).collect()) == ["a.png", "b.png"]
+
+
+def test_growing_files_in_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.png").write_bytes(b"x")
+    q = inbox.watch_growing(spark, str(tmp_path / "in"), str(tmp_path / "l"), str(tmp_path / "p"), str(tmp_path / "c"), "1 second")
+    for _ in range(60):
+        time.sleep(0.5)
+        if inbox.ledger_at(spark, str(tmp_path / "l")).count():
+            break
+    q.stop()
+    assert [r.name for r in inbox.ledger_at(spark, str(tmp_path / "l")).collect()] == ["a.png"]
