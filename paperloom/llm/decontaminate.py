@@ -13,15 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import chunks, raw, words
+from paperloom.llm.common import checkpointed, chunks, mix, raw, unused, words
 
 WINDOW = 10
-#: Item text that one automaton holds; further items go to further automata, one pass each.
+#: Item text that one automaton holds; with more there are several, and runs of words are dealt to them.
 BLOCK_BYTES = 512 << 10
+#: Bits (as a power of two) of the sieve over all items' windows, and runs of words in a group of one automaton.
+SIEVE_BITS, GROUP_RUNS = 24, 20_000
 #: Words are runs of 0-9, a-z (after lowering A-Z) and bytes over 0x7F.
 BYTE_MAP = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 MARKS = "hit_spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>, n_words bigint"
@@ -186,11 +189,15 @@ class ItemAutomaton:
         return starts[keep], ends[keep]
 
 
-def _marked(automaton, batches: Iterator[pa.RecordBatch], text: str, first_pass: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    model: ItemAutomaton = automaton.value
+def _marked(model: ItemAutomaton | None, batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches with hit_spans, items and n_words; without a model the first two are there (null: none)."""
     for batch in chunks(batches, text):
         data, at = raw(batch.column(batch.schema.get_field_index(text)))
         starts, ends, first, found = words(data, at, BYTE_MAP)
+        counts = pa.array(np.diff(first), pa.int64())
+        if model is None:
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=schema.names)
+            continue
         hits: dict[int, tuple[list, set]] = {}
         if len(starts) and len(model.vocabulary):
             numbers = model.numbered(found)
@@ -201,44 +208,152 @@ def _marked(automaton, batches: Iterator[pa.RecordBatch], text: str, first_pass:
                     had, names = hits.setdefault(doc, ([], set()))
                     had += [(int(a + x - first[doc]), int(a + y - first[doc]), int(starts[a + x] - at[doc]), int(ends[a + y - 1] - at[doc])) for x, y in spans]
                     names |= items
-        n, keys = batch.num_rows, ("first", "last", "start", "end")
-        found_spans: list[list[dict]] = [[] for _ in range(n)]
-        found_items: list[list[str]] = [[] for _ in range(n)]
-        if not first_pass:
-            found_spans, found_items = (batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("hit_spans", "items"))
+        keys = ("first", "last", "start", "end")
+        found_spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+        found_items: list[list[str]] = [[] for _ in range(batch.num_rows)]
         for doc, (spans, items) in hits.items():
-            found_spans[doc] = found_spans[doc] + [dict(zip(keys, s, strict=True)) for s in spans]
-            found_items[doc] = sorted({*found_items[doc], *items})
-        own = batch.columns if first_pass else batch.columns[:-3]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(found_spans, schema.field("hit_spans").type), pa.array(found_items, schema.field("items").type), pa.array(np.diff(first), pa.int64())], names=schema.names)
+            found_spans[doc] = [dict(zip(keys, s, strict=True)) for s in spans]
+            found_items[doc] = sorted(items)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found_spans, schema.field("hit_spans").type), pa.array(found_items, schema.field("items").type), counts], names=schema.names)
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in blocks of about ``block_bytes``; only one block is on the driver at a time."""
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
+# --- items that one automaton can't hold ----------------------------------------------------------
+
+
+def word_hashes(found: pa.Array) -> np.ndarray:
+    coded = found.dictionary_encode() if len(found) else pa.array([], pa.binary()).dictionary_encode()
+    held = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    return held[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """One hash for each n words in a row."""
+    out = np.full(max(0, len(hashes) - n + 1), n, np.uint64)
+    for k in range(n if len(out) else 0):
+        out = mix(out ^ hashes[k : k + len(out)])
+    return out
+
+
+def _windows_of_items(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """batch: text, block -> block, n, h of each window of each item."""
+    for batch in batches:
+        blocks, sizes, found = [], [], []
+        for text, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ws = word_hashes(pa.array(item_words(text), pa.binary()))
+            n = min(window, len(ws))
+            h = np.unique(window_hashes(ws, n)) if n else np.zeros(0, np.uint64)
+            found.append(h)
+            blocks.append(np.full(len(h), block, np.int32))
+            sizes.append(np.full(len(h), n, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (blocks, sizes, [h.view(np.int64) for h in found])], names=["block", "n", "h"])
+
+
+SEGMENT = "k1 bigint, k2 bigint, pos bigint, words binary, starts binary, ends binary, hs array<bigint>"
+
+
+def _segments(batches: Iterator[pa.RecordBatch], sieve: np.ndarray, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """batch: text, k1, k2 -> the runs of words whose windows the sieve lets through, with these windows' hashes."""
+    for batch in chunks(batches):
+        data, at = raw(batch.column(0))
+        starts, ends, first, found = words(data, at, BYTE_MAP)
+        h = word_hashes(found)
+        doc = np.searchsorted(first, np.arange(len(h)), side="right") - 1
+        mask, hits = np.zeros(len(h) + 1, np.int64), []
+        for n in sizes:
+            w = window_hashes(h, n)
+            slot = w & np.uint64(len(sieve) - 1)
+            some = np.flatnonzero(sieve[slot] & (doc[: len(w)] == doc[n - 1 :][: len(w)]))
+            mask[some] += 1
+            np.subtract.at(mask, some + n, 1)
+            hits.append(np.stack([some, w[some].view(np.int64)], 1))
+        inside = np.cumsum(mask)[:-1] > 0
+        opens = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1] | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+        if not len(opens):
+            continue
+        closes = np.flatnonzero(inside & np.concatenate([~inside[1:] | (doc[1:] != doc[:-1]), [True]])) + 1
+        every = np.concatenate(hits)
+        order = np.argsort(every[:, 0], kind="stable")
+        cuts = np.searchsorted(every[order, 0], np.append(opens, len(h)))
+        held, k1, k2 = found.to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        rows = []
+        for j, (a, b) in enumerate(zip(opens.tolist(), closes.tolist(), strict=True)):
+            d = int(doc[a])
+            rows.append((k1[d], k2[d], a - int(first[d]), b" ".join(held[a:b]), (starts[a:b] - at[d]).astype("<i4").tobytes(), (ends[a:b] - at[d]).astype("<i4").tobytes(), np.unique(every[order[cuts[j] : cuts[j + 1]], 1]).tolist()))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SEGMENT.split(", ")])
+
+
+def _hits_by_blocks(keyed: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """k1, k2, hit_spans, items for texts (text, k1, k2) that hold a window of any item.
+
+    A sieve of fixed size over all items' windows, broadcast, leaves the runs of words that may hold
+    one; a join on the windows' hashes deals them to the blocks that have them, in groups of bounded
+    size, where the block's automaton streams them.
+    """
     named = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    for k in range(n):
-        block = named if n == 1 else named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in block.toLocalIterator()]
+    named = checkpointed(named.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")))
+    windows = checkpointed(named.select("text", "block").mapInArrow(lambda it: _windows_of_items(it, window), "block int, n int, h bigint"))
+    sizes = sorted(r.n for r in windows.select("n").distinct().collect())  # at most ``window``
+    low = F.col("h").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    bits = windows.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits")).toArrow()  # at most 2 ** (SIEVE_BITS - 6) rows
+    sieve = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    sieve[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+    held = keyed.sparkSession.sparkContext.broadcast(np.unpackbits(sieve.astype("<i8").view(np.uint8), bitorder="little").astype(bool))
+    found = keyed.mapInArrow(lambda it: _segments(it, held.value, sizes), SEGMENT)
+    runs = checkpointed(found.dropDuplicates(["k1", "k2", "pos"]))
+    where = runs.select("k1", "k2", "pos", F.explode("hs").alias("h")).join(windows.select("h", "block").distinct(), "h").select("k1", "k2", "pos", "block").distinct()
+    dealt = checkpointed(runs.drop("hs").join(where, ["k1", "k2", "pos"]))
+    salts = max(1, -(-dealt.count() // GROUP_RUNS))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.lit(salts)).cast("int"))
+    spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    kind = "k1 bigint, k2 bigint, spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
+
+    def stream(runs: pa.Table, items: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if runs.num_rows and items.num_rows:
+            model = ItemAutomaton(list(zip(items["item_id"].to_pylist(), items["text"].to_pylist(), strict=True)), window)
+            for r in runs.to_pylist():
+                numbers = model.numbered(pa.array(r["words"].split(b" "), pa.binary()))
+                spans, names = model.stream(numbers.tolist())
+                starts, ends = (np.frombuffer(r[k], "<i4").tolist() for k in ("starts", "ends"))
+                made = [{"first": r["pos"] + x, "last": r["pos"] + y, "start": starts[x], "end": ends[y - 1]} for x, y in spans]
+                if made:
+                    rows.append((r["k1"], r["k2"], made, sorted(names)))
+        span = pa.struct([(k, pa.int32()) for k in ("first", "last", "start", "end")])
+        kinds = [pa.int64(), pa.int64(), pa.list_(span), pa.list_(pa.string())]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["k1", "k2", "spans", "items"])
+
+    made = dealt.groupBy("block", "salt").cogroup(spread.groupBy("block", "salt")).applyInArrow(stream, kind)
+    return made.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
     """``docs`` with ``hit_spans`` (word positions and byte offsets), ``items`` and ``n_words``.
 
     Null text and null items have no words; items with a null id hit words but aren't listed.
-    Repeated rows are marked alike; columns of those three names are replaced. With several
-    blocks of items, spans of different blocks may overlap.
+    Repeated rows are marked alike; columns of those three names are replaced. Whole texts are
+    streamed, however long. Items over ``block_bytes`` are dealt to several automata
+    (``_hits_by_blocks``); spans of different ones may overlap.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = docs.drop("hit_spans", "items", "n_words")
     schema = T.StructType([*out.schema.fields, *T._parse_datatype_string(MARKS).fields])
     arrow = to_arrow_schema(schema)
-    for k, block in enumerate(item_blocks(items, block_bytes)):
-        model = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(block, window))
-        out = out.mapInArrow(lambda it, m=model, k=k: _marked(m, it, text, k == 0, arrow), schema)
-    return out
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    if blocks == 1:
+        held = [(r[0], r[1]) for r in items.select(F.col("item_id").cast("string"), "text").toLocalIterator()]  # block_bytes at most
+        model = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(held, window))
+        return out.mapInArrow(lambda it: _marked(model.value, it, text, arrow), schema)
+    plain = F.coalesce(F.col(text), F.lit(""))
+    keys = F.xxhash64(plain), F.xxhash64(plain, F.lit("second"))
+    hits = _hits_by_blocks(out.select(plain.alias("text"), keys[0].alias("k1"), keys[1].alias("k2")), items, blocks, window)
+    names = [unused(out.columns, k) for k in ("k1", "k2")]
+    keyed = out.withColumns(dict(zip(names, keys, strict=True))).join(hits.withColumnsRenamed(dict(zip(("k1", "k2"), names, strict=True))), names, "left")
+    spans = T._parse_datatype_string(MARKS)["hit_spans"].dataType
+    keyed = keyed.select(*out.columns, F.coalesce("hit_spans", F.array().cast(spans)).alias("hit_spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return keyed.mapInArrow(lambda it: _marked(None, it, text, arrow), schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -277,6 +392,7 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_covera
 
     The columns are those of ``docs``. A removed span leaves the white space around it, cut to one
     break. Documents without a hit, null texts included, stay as they are; ``n_chars`` follows the text.
+    Whole texts count, however long; repeated rows are cut alike, an empty table stays empty.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
