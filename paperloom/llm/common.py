@@ -60,10 +60,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder, so that a lost executor loses nothing."""
+#: Narrow rows (a few numbers) that one task works on at most.
+TASK_ROWS = 100_000
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cuts the lineage through the shared folder, so that a lost executor loses nothing.
+
+    With ``rows``, a bound of the rows where these are narrow, in as many partitions as they are
+    worth: steps that are repeated on few rows don't make files for every shuffle partition.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // TASK_ROWS)))).checkpoint(eager=True)
 
 
 def unused(columns: list[str], name: str) -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import checkpointed, chunks, raw, skew_join
+from paperloom.llm.common import TASK_ROWS, checkpointed, chunks, raw, skew_join
 
 RADIUS = 2
 #: Words a shingle has and the seed of its hash.
@@ -216,14 +216,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = checkpointed(edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct())
     summary = _summary(now)
+    now = now.coalesce(max(1, -(-summary[0] // TASK_ROWS)))
     for _ in range(most_rounds):
-        both, total = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * summary[0]
+        size = summary[0]
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = checkpointed(skew_join(both.where("b > a"), least, ["a"], total).select(F.col("m").alias("a"), "b").where("a <> b").distinct())
+        large = checkpointed(skew_join(both.where("b > a"), least, ["a"], 2 * size).select(F.col("m").alias("a"), "b").where("a <> b"), size)
         lower = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-        small = skew_join(large, lower, ["b"], total)
-        star = small.select(F.col("m").alias("a"), F.col("b")).union(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-        now, before = checkpointed(star), summary
+        small = checkpointed(skew_join(large, lower, ["b"], size).select("m", "a", "b"), size)
+        star = small.select(F.col("m").alias("a"), "b").union(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
+        now, before = checkpointed(star, size), summary
         summary = _summary(now)
         if summary == before:
             break
