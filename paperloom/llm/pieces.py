@@ -161,6 +161,14 @@ def merge_plainly(model: PieceModel, symbols: list[int], key: int, limit: int) -
     return [s for s, x in zip(symbols, gone, strict=True) if not x]
 
 
+def moved_up(grid: np.ndarray, moved: np.ndarray, empty: int) -> np.ndarray:
+    """Rows whose marked cells take what stands next to them; the last cell is emptied."""
+    out = grid.copy()
+    np.copyto(out[:, :-1], grid[:, 1:], where=moved[:, :-1])
+    out[:, -1] = empty
+    return out
+
+
 def merge_in_step(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Many words of equal length through the agenda at once: the symbols left, and how many."""
     n, m = symbols.shape
@@ -168,11 +176,11 @@ def merge_in_step(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, limi
     if m < 2:
         return out, count
     live = np.arange(n)
-    now, begin = symbols.copy(), np.broadcast_to(np.arange(m), (n, m)).copy()
+    now, begin = symbols.copy(), np.broadcast_to(np.arange(m, dtype=np.int16), (n, m)).copy()
     made = model.union(now[:, :-1].ravel(), now[:, 1:].ravel()).reshape(n, m - 1)
     rank = np.where(made >= 0, model.rank_of[made], NONE)
     left, key = np.full(n, m), keys
-    column = np.arange(m)
+    column = np.arange(m, dtype=np.int16)
     while len(live):
         best = rank.argmin(axis=1)
         rows = np.arange(len(live))
@@ -194,24 +202,14 @@ def merge_in_step(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, limi
         if not len(take):
             continue
         at = best[take]
-        moved = column[None, :] > at[:, None]
-        shift = np.where(moved, column[None, :] + 1, column[None, :])
-        shift[:, -1] = np.minimum(shift[:, -1], m - 1)
-        some = np.take_along_axis(now[take], shift, 1)
-        some[moved[:, -1], -1] = -1
+        moved = column > at[:, None].astype(np.int16)  # what lies behind the right symbol moves up
+        some = moved_up(now[take], moved, -1)
         some[np.arange(len(take)), at] = piece[take]
         now[take] = some
-        begin[take] = np.take_along_axis(begin[take], shift, 1)
+        begin[take] = moved_up(begin[take], moved, 0)
         left[take] -= 1
-        if m > 2:
-            shorter = np.minimum(shift[:, :-1], m - 2)
-            ends = moved[:, :-1][:, -1] | (at == m - 2)
-            for grid, empty in ((made, -1), (rank, NONE)):
-                held = np.take_along_axis(grid[take], shorter, 1)
-                held[ends, -1] = empty
-                grid[take] = held
-        else:
-            made[take], rank[take] = -1, NONE
+        behind = moved[:, :-1]
+        made[take], rank[take] = moved_up(made[take], behind, -1), moved_up(rank[take], behind, NONE)
         for side in (at - 1, at):
             ok = (side >= 0) & (side + 1 < left[take])
             r, c = take[ok], side[ok]
