@@ -197,19 +197,17 @@ def difference_hash(values: Column, n: int = 64) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
-def wide_hash(bits: list[Column]) -> Column:
-    """Boolean columns as an array of bigint words, the first bit the highest of the first word."""
-    words = []
-    for first in range(0, len(bits), 64):
-        one = [F.when(b, F.lit((1 << (63 - k)) - (1 << 64 if k == 0 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, b in enumerate(bits[first : first + 64])]
-        words.append(reduce(lambda x, y: x.bitwiseOR(y), one))
-    return F.array(*words)
+def wide_hash(bits: Column, n: int = 4) -> Column:
+    """64 n booleans (array) as an array of n bigint words, the first the highest bit of the first word."""
+    word = lambda w: F.aggregate(F.slice(bits, w * 64 + 1, F.lit(64)), F.lit(0).cast("bigint"), lambda x, b: F.shiftleft(x, 1).bitwiseOR(F.coalesce(b, F.lit(False)).cast("bigint")))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), word)
 
 
 def grid_hash(cells: Column, rows: int = 16, columns: int = 16) -> Column:
     """The difference hash of a grid of rows x (columns + 1) cells: a bit is set where a cell is over the next one."""
-    at = lambda r, c: F.element_at(cells, r * (columns + 1) + c + 1)
-    return wide_hash([at(r, c) > at(r, c + 1) for r in range(rows) for c in range(columns)])
+    at = lambda i: F.floor(i / columns).cast("int") * (columns + 1) + i % columns
+    bits = F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), lambda i: F.get(cells, at(i)) > F.get(cells, at(i) + 1))
+    return wide_hash(bits, rows * columns // 64)
 
 
 def hash_digits(words: Column, n: int = 4) -> Column:

@@ -251,7 +251,7 @@ def _wide(spark, sf, copies: bool = False):
     if copies:
         changed = F.transform("v", lambda x, i: F.when(i == F.pmod(F.col("seq"), F.lit(64)), F.lit(9.0).cast("float")).otherwise(x))
         vectors = vectors.union(vectors.where("seq % 3 = 0").select((F.col("seq") + 1_000_000).alias("seq"), "label", changed))
-    bits = [F.col("v")[i] > F.col("v")[(i + step) % 64] for step in range(1, 5) for i in range(64)]
+    bits = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.get("v", i % 64) > F.get("v", (i % 64 + F.floor(i / 64).cast("int") + 1) % 64))
     return dedup.wide_prints(vectors, C.wide_hash(bits)).select("seq", "label", "fp")
 
 
