@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontaminate, pieces, quality, repeats, sharding, simhash, suffixes, tokenfiles, webtext, winnow
-from paperloom.llm.common import table
+from paperloom.llm import decontaminate, pieces, quality, repeats, sharding, simhash, suffixes, tokenfiles, toxicity, webtext, winnow
+from paperloom.llm.common import small_batches, table
 
 #: The vocabularies' places; parameters of the operators.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,11 @@ def op10_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_main_text,
         op9_token_files,
         op10_benchmark_hits,
+        op13_toxicity,
     )
 }
 ORACLE_SQL: dict[str, str] = {
