@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontaminate, pieces, quality, repeats, sharding, simhash, suffixes, tokenfiles, toxicity, webtext, winnow
+from paperloom.llm import decontaminate, pieces, quality, repeats, sharding, simhash, suffixes, tokenfiles, toxicity, turns, webtext, winnow
 from paperloom.llm.common import small_batches, table
 
 #: The vocabularies' places; parameters of the operators.
@@ -55,6 +55,11 @@ def op10_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return turns.repair_report(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_main_text,
         op9_token_files,
         op10_benchmark_hits,
+        op12_turn_repair,
         op13_toxicity,
     )
 }
@@ -97,4 +103,29 @@ ORACLE_SQL: dict[str, str] = {
   c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY 1),
   l AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM hit) GROUP BY 1)
   SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""",
+    # the checksum byte by byte; row by row the least (cost, letters) of each of the four states; the letters applied to the rows
+    "op12_turn_repair": r"""WITH RECURSIVE
+  crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)),
+  c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+  k AS (SELECT c.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda j: CAST(ascii(substr(key, j, 1)) AS BIGINT))), lambda h, b: xor(h >> 8, tab[(xor(h, b) & 255) + 1]))) % 20 AS kind FROM c, crc),
+  d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind > 0),
+  f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, substr(role, 1, 1) AS i FROM d),
+  r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair FROM f),
+  v AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, {'c': CAST(0 AS BIGINT), 's': ''} AS z, {'c': CAST(99999999 AS BIGINT), 's': ''} AS y, {'c': CAST(2 AS BIGINT), 's': 'I'} AS u, {'c': CAST(4 AS BIGINT), 's': 'II'} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, n, z, y, u, list_sort([a, {'c': u.c + 2, 's': u.s || 'I'}])[1] AS a FROM (
+      SELECT conv_id, n, z, y, list_sort([u, {'c': z.c + 2, 's': z.s || 'I'}, {'c': y.c + 2, 's': y.s || 'I'}, {'c': a.c + 2, 's': a.s || 'I'}])[1] AS u, a FROM (
+        SELECT conv_id, n, {'c': z.c + 3, 's': z.s || 'D'} AS z,
+          list_sort([{'c': y.c + 3, 's': y.s || 'D'}, {'c': z.c + more + s, 's': z.s || 'K'}])[1] AS y,
+          list_sort([{'c': u.c + 3, 's': u.s || 'D'}, {'c': z.c + more + su, 's': z.s || k}, {'c': y.c + more + su, 's': y.s || k}, {'c': a.c + more + su, 's': a.s || k}])[1] AS u,
+          list_sort([{'c': a.c + 3, 's': a.s || 'D'}, {'c': u.c + more + sa, 's': u.s || l}])[1] AS a
+        FROM (SELECT v.conv_id, r.n, z, y, u, a, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 1 ELSE 9999999 END AS more, CASE i WHEN 's' THEN 0 ELSE 9999999 END AS s, CASE i WHEN 'u' THEN 0 ELSE 2 END AS su, CASE i WHEN 'a' THEN 0 ELSE 2 END AS sa, CASE i WHEN 'u' THEN 'K' ELSE 'R' END AS k, CASE i WHEN 'a' THEN 'K' ELSE 'R' END AS l
+          FROM v JOIN r ON v.conv_id IS NOT DISTINCT FROM r.conv_id AND r.n = v.n + 1)))),
+  e AS (SELECT conv_id, list_sort([z, a])[1] AS e FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+  x AS (SELECT conv_id, p, letter, sum(CASE letter WHEN 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY p) AS n FROM (SELECT conv_id, unnest(range(1, length(e.s) + 1)) AS p, unnest(string_split(e.s, '')) AS letter FROM e WHERE e.s <> '')),
+  t AS (SELECT x.conv_id, p, letter, role, CASE letter WHEN 'I' THEN '' ELSE text END AS text, sum(CASE WHEN letter = 'D' OR letter = 'K' AND i = 's' THEN 0 ELSE 1 END) OVER (PARTITION BY x.conv_id ORDER BY p) AS nth FROM x LEFT JOIN r ON x.conv_id IS NOT DISTINCT FROM r.conv_id AND x.n = r.n),
+  o AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS made FROM t WHERE letter <> 'D' GROUP BY 1),
+  g AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1)
+  SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, e.e.c AS cost, e.e.s AS audit, sha256(coalesce(made, '')) AS repaired_sha256
+  FROM e LEFT JOIN g ON e.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN o ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
