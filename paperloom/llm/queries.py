@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontaminate, pieces, quality, repeats, sharding, simhash, suffixes, tokenfiles, toxicity, turns, webtext, winnow
+from paperloom.llm import decontaminate, negatives, pieces, quality, repeats, sharding, simhash, suffixes, tokenfiles, toxicity, turns, webtext, winnow
 from paperloom.llm.common import small_batches, table
 
 #: The vocabularies' places; parameters of the operators.
@@ -55,6 +55,10 @@ def op10_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return turns.repair_report(turns.damaged(table(spark, sf_dir, "conversations")))
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_main_text,
         op9_token_files,
         op10_benchmark_hits,
+        op11_hard_negatives,
         op12_turn_repair,
         op13_toxicity,
     )
@@ -103,6 +108,13 @@ ORACLE_SQL: dict[str, str] = {
   c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY 1),
   l AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM hit) GROUP BY 1)
   SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""",
+    # every anchor with every other row
+    "op11_hard_negatives": """WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+  p AS (SELECT ar, anchor_id, br, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) <= 5)
+  SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.ar, p.br ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (ar) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
     # the checksum byte by byte; row by row the least (cost, letters) of each of the four states; the letters applied to the rows
     "op12_turn_repair": r"""WITH RECURSIVE
   crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)),
