@@ -171,6 +171,12 @@ def is_eligible(name: Column, extensions: list[str]) -> Column:
     return ~name.startswith(".") & extension(name).isin(extensions)
 
 
+def image_like(content: Column) -> Column:
+    """Whether bytes begin as a PNG, JPEG or WebP image does."""
+    head = F.hex(F.substring(content, 1, 12))
+    return F.coalesce(head.startswith("89504E470D0A1A0A") | head.startswith("FFD8FF") | (head.startswith("52494646") & head.endswith("57454250")), F.lit(False))
+
+
 def parse_timestamp(value: Column) -> Column:
     return F.try_to_timestamp(value, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
 

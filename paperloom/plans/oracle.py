@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from paperloom.functions import tables as V
 from paperloom.functions.fields import label_phrases
-from paperloom.plans import intake
+from paperloom.plans import changes, intake
 from paperloom.plans import samples as S
 from paperloom.sources import domain as D
 
@@ -241,4 +241,4 @@ ORACLE_SQL: dict[str, str] = {
     "inbox_stability": """WITH p AS (SELECT event_id AS poll, CAST((event_id // 4) % 50 AS VARCHAR) AS name, user_id // 75 AS size FROM events)
   SELECT poll, name, coalesce(lag(size) OVER w = size AND lag(poll) OVER w = poll - 1, false) AS stable FROM p WINDOW w AS (PARTITION BY name ORDER BY poll)""",
 }
-ORACLE_SQL |= intake.SQL
+ORACLE_SQL |= intake.SQL | changes.SQL
