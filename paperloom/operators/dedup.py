@@ -8,27 +8,21 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import fields as C
 from paperloom.functions import tables as V
+from paperloom.operators.carry import last_before
 
 
-#: Runs of seq that the rows of one content are sorted in, and bits and bands of whole fingerprints.
-BLOCKS, WIDE_BITS = 16, 256
+#: Bits of whole fingerprints.
+WIDE_BITS = 256
 
 
-def exact_duplicates(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """seq, sha, duplicate_of: the latest earlier document of the same content (seq, content), null for the first.
 
-    Keyed by the content's hash. The rows of a content are sorted by runs of seq, so that one that
-    many documents hold is in several tasks; a run's first row follows the last of the runs before.
+    Keyed by the content's hash and carried along seq, so that a content that many documents hold is
+    in as many tasks as it is worth.
     """
-    bounds = docs.select(F.percentile_approx("seq", [k / blocks for k in range(1, blocks)], F.lit(1000)).alias("at")).first()[0] or []
-    block = F.lit(0)
-    for bound in sorted({*bounds}):
-        block = block + (F.col("seq") >= F.lit(bound)).cast("int")
-    hashed = docs.select("seq", F.sha2("content", 256).alias("sha"), block.alias("block"))
-    inner = hashed.withColumn("before", F.lag("seq").over(W.partitionBy("sha", "block").orderBy("seq")))
-    last = hashed.groupBy("sha", "block").agg(F.max("seq").alias("last"))
-    last = last.withColumn("earlier", F.max("last").over(W.partitionBy("sha").orderBy("block").rowsBetween(W.unboundedPreceding, -1))).drop("last")
-    return inner.join(last, ["sha", "block"], "left").select("seq", "sha", F.coalesce("before", "earlier").alias("duplicate_of"))
+    hashed = docs.select("seq", F.sha2("content", 256).alias("sha"))
+    return last_before(hashed, ["sha"], "seq", {"duplicate_of": F.col("seq")}, blocks)
 
 
 def fingerprints(vectors: DataFrame, bits: int = 63) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions import fields as C
+from paperloom.operators.carry import last_before
 from paperloom.operators.checklist import unchecked_after_delete
 
 FIELD = "doc_id bigint, key string, value string, corrected boolean, original_value string, low_confidence boolean"
@@ -40,13 +41,13 @@ def confirm_fields(fields: DataFrame, confirms: DataFrame) -> DataFrame:
     return agg.select("doc_id", "key", "value", fixed.alias("corrected"), F.when(fixed, original).alias("original_value"), (F.coalesce("low", F.lit(False)) & ~F.col("changed")).alias("low_confidence"))
 
 
-def confirm_events(fields: DataFrame, confirms: DataFrame) -> DataFrame:
+def confirm_events(fields: DataFrame, confirms: DataFrame, blocks: int | None = None) -> DataFrame:
     """seq, doc_id, fields_corrected: how many keys each confirm changed against the value it met."""
     base = fields.select("doc_id", "key", F.lit(-1).cast("bigint").alias("seq"), "value")
-    w = W.partitionBy("doc_id", "key").orderBy("seq")
     rows = base.unionByName(confirms.select("doc_id", "key", "seq", F.coalesce("value", F.lit("")).alias("value")))
-    rows = rows.withColumn("changed", F.col("value") != F.coalesce(F.lag("value").over(w), F.lit("")))
-    return rows.where("seq >= 0").groupBy("seq", "doc_id").agg(F.count_if("changed").alias("fields_corrected"))
+    met = last_before(rows, ["doc_id", "key"], "seq", {"was": F.struct("value")}, blocks)
+    changed = F.col("value") != F.coalesce("was.value", F.lit(""))
+    return met.where("seq >= 0").groupBy("seq", "doc_id").agg(F.count_if(changed).alias("fields_corrected"))
 
 
 def confirm_documents(docs: DataFrame, confirms: DataFrame) -> DataFrame:

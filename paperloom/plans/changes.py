@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.operators import replay
 from paperloom.plans.queries import query
 from paperloom.sources import domain as D
 from paperloom.streaming import inbox
@@ -29,3 +30,71 @@ SQL["file_steps"] = """WITH l AS (SELECT event_id // 10 AS poll, 'f' || (event_i
   s AS (SELECT *, CASE WHEN lag(poll) OVER w = poll - 1 AND lag(size) OVER w = size AND lag(mtime) OVER w = mtime THEN 0 ELSE 1 END AS fresh FROM l WINDOW w AS (PARTITION BY name ORDER BY poll)),
   r AS (SELECT *, sum(fresh) OVER (PARTITION BY name ORDER BY poll) AS run FROM s)
   SELECT poll, name, CASE row_number() OVER (PARTITION BY name, run ORDER BY poll) WHEN 1 THEN 'wait' WHEN 2 THEN 'read' ELSE 'skip' END AS step FROM r"""
+
+
+# --- the log of changes ---
+
+
+def _changed(spark, sf):
+    """Documents with flags, and a log: a change for each line, by turns over the documents."""
+    n = F.col("id")
+    docs = D.documents(spark, sf).select("id", "status", "doc_type", "client_id", F.when(n % 5 == 0, n - 1).when(n % 7 == 0, n).alias("duplicate_of"))
+    lines = D.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line")).agg(F.min("l_partkey").alias("part"))
+    lines = lines.withColumn("mode", F.concat(F.lit("form "), (F.col("part") % 4).cast("string")))
+    k = F.col("part") % 9
+    action = F.when(k < 4, "confirm").when(k < 6, "reopen").when(k == 6, "resolve").when((k == 7) & (F.col("part") % 2 == 0), "discard").otherwise("confirm")
+    doc_id = F.when((k == 8) & (F.col("part") % 4 == 0), -F.col("doc_id")).otherwise(F.col("doc_id"))  # some that aren't there
+    return docs, lines.select((F.col("line") * 1_000_000_000_000 + F.col("doc_id")).alias("seq"), doc_id.alias("doc_id"), action.alias("action"), F.when(F.col("part") % 3 == 0, F.col("mode")).alias("doc_type"), F.when(F.col("part") % 5 == 0, F.col("part") % 100).alias("client_id"))
+
+
+@query
+def replayed_log(spark, sf):
+    made = replay.replay(*_changed(spark, sf))
+    events = made.events().select("seq", "type", F.col("doc_type").alias("type_after"), "manual_type_change")
+    return made.results().join(events, "seq", "left")
+
+
+@query
+def replayed_documents(spark, sf):
+    return replay.replay(*_changed(spark, sf)).documents()
+
+
+@query
+def replayed_checklists(spark, sf):
+    made = replay.replay(*_changed(spark, sf)).received(D.checklists(spark, sf).select("id", "received_docs"))
+    return made.select("id", F.array_join("received_docs", ",").alias("received"))
+
+
+#: One change after another: a document's state is carried from each of its rows to the next.
+CHANGED = """docs AS (SELECT o_orderkey AS id, o_custkey AS client_id, o_orderpriority AS doc_type, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'extracted' ELSE 'pending' END AS status,
+    CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey - 1 WHEN o_orderkey % 7 = 0 THEN o_orderkey END AS duplicate_of FROM orders),
+  lines AS (SELECT l_orderkey AS doc_id, l_linenumber AS line, min(l_partkey) AS part, 'form ' || (min(l_partkey) % 4) AS mode FROM lineitem GROUP BY 1, 2),
+  log AS (SELECT line * 1000000000000 + doc_id AS seq, CASE WHEN part % 9 = 8 AND part % 4 = 0 THEN -doc_id ELSE doc_id END AS doc_id, CASE WHEN part % 3 = 0 THEN mode END AS doc_type, CASE WHEN part % 5 = 0 THEN part % 100 END AS client_id,
+    CASE WHEN part % 9 < 4 THEN 'confirm' WHEN part % 9 < 6 THEN 'reopen' WHEN part % 9 = 6 THEN 'resolve' WHEN part % 9 = 7 AND part % 2 = 0 THEN 'discard' ELSE 'confirm' END AS action FROM lines),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM log),
+  away AS (SELECT doc_id AS target, min(seq) AS away_at FROM log JOIN docs ON doc_id = id WHERE action = 'discard' GROUP BY 1),
+  state AS (SELECT id, 0 AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS action, CAST('' AS VARCHAR) AS outcome, false AS manual, false AS gone, status, doc_type, client_id, duplicate_of, away_at,
+      CAST(NULL AS VARCHAR) AS was_status, CAST(NULL AS VARCHAR) AS was_type, CAST(NULL AS BIGINT) AS was_client FROM docs LEFT JOIN away ON duplicate_of = target
+    UNION ALL
+    SELECT s.id, l.n, l.seq, l.action,
+      CASE WHEN gone THEN 'missing' WHEN l.action = 'reopen' AND status <> 'confirmed' THEN 'conflict' WHEN l.action = 'resolve' AND (duplicate_of IS NULL OR away_at < l.seq) THEN 'nothing' ELSE 'done' END,
+      l.action = 'confirm' AND l.doc_type IS NOT NULL AND l.doc_type IS DISTINCT FROM s.doc_type, gone OR l.action = 'discard',
+      CASE WHEN gone THEN status WHEN l.action = 'confirm' THEN 'confirmed' WHEN l.action = 'reopen' AND status = 'confirmed' THEN 'extracted' ELSE status END,
+      CASE WHEN NOT gone AND l.action = 'confirm' THEN coalesce(l.doc_type, s.doc_type) ELSE s.doc_type END, CASE WHEN NOT gone AND l.action = 'confirm' THEN coalesce(l.client_id, s.client_id) ELSE s.client_id END,
+      CASE WHEN l.action <> 'resolve' THEN duplicate_of END, away_at, status, s.doc_type, s.client_id
+    FROM state s JOIN numbered l ON s.id = l.doc_id AND l.n = s.n + 1)"""
+
+SQL["replayed_log"] = f"""WITH RECURSIVE {CHANGED}
+  SELECT seq, id AS doc_id, action, outcome, CASE WHEN outcome = 'done' THEN CASE action WHEN 'confirm' THEN 'confirmed' WHEN 'reopen' THEN 'unconfirmed' WHEN 'discard' THEN 'deleted' ELSE 'dup_resolved' END END AS type,
+    CASE WHEN outcome = 'done' AND action <> 'resolve' THEN doc_type END AS type_after, CASE WHEN outcome = 'done' AND action = 'confirm' THEN manual END AS manual_type_change FROM state WHERE n > 0
+  UNION ALL SELECT seq, doc_id, action, 'missing', NULL, NULL, NULL FROM log WHERE doc_id NOT IN (SELECT id FROM docs)"""
+SQL["replayed_documents"] = f"""WITH RECURSIVE {CHANGED}, last AS (SELECT * FROM state QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1)
+  SELECT id, status, doc_type, client_id, CASE WHEN away_at IS NULL THEN duplicate_of END AS duplicate_of FROM last WHERE NOT gone"""
+SQL["replayed_checklists"] = f"""WITH RECURSIVE {CHANGED},
+  spells AS (SELECT id, client_id AS c, doc_type AS t, coalesce(seq, -1) AS since, coalesce(lead(seq) OVER (PARTITION BY id ORDER BY n), 9223372036854775807) AS until, status, gone FROM state QUALIFY status = 'confirmed' AND NOT gone),
+  offs AS (SELECT was_client AS c, was_type AS t, max(seq) AS off_at FROM state s WHERE outcome = 'done' AND action IN ('reopen', 'discard') AND was_status = 'confirmed'
+    AND NOT EXISTS (SELECT 1 FROM spells x WHERE x.c = s.was_client AND x.t = s.was_type AND x.id <> s.id AND x.since < s.seq AND x.until > s.seq) GROUP BY 1, 2),
+  ons AS (SELECT client_id AS c, doc_type AS t, min(seq) AS on_at FROM state LEFT JOIN offs ON c = client_id AND t = doc_type WHERE outcome = 'done' AND action = 'confirm' AND (off_at IS NULL OR seq > off_at) GROUP BY 1, 2),
+  had AS (SELECT client_id AS c, doc_type AS t, row_number() OVER (PARTITION BY client_id ORDER BY doc_type) AS pos FROM (SELECT DISTINCT client_id, doc_type FROM docs WHERE status = 'confirmed')),
+  kept AS (SELECT c, t, pos AS place FROM had ANTI JOIN offs USING (c, t) UNION ALL SELECT c, t, 1000 + on_at FROM ons WHERE (c, t) NOT IN (SELECT (c, t) FROM had ANTI JOIN offs USING (c, t)))
+  SELECT c_custkey AS id, coalesce(string_agg(t, ',' ORDER BY place), '') AS received FROM customer LEFT JOIN kept ON c_custkey = c GROUP BY 1"""

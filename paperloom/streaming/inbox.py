@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.functions import fields as C
 from paperloom.functions import tables as V
+from paperloom.operators.carry import last_before
 
 LEDGER = "sha256 string, name string, outcome string, at timestamp"
 
@@ -31,11 +32,11 @@ def admit(batch: DataFrame, ledger: DataFrame, accept: Column | None = None) ->
     return new.select("sha256", "f.name", F.when(F.col("f.ok"), "ingested").otherwise("rejected").alias("outcome"), F.col("f.at").alias("at"))
 
 
-def stable(polls: DataFrame) -> DataFrame:
+def stable(polls: DataFrame, blocks: int | None = None) -> DataFrame:
     """Files (poll, name, size, mtime) whose size and time are as at the poll before."""
-    w = W.partitionBy("name").orderBy("poll")
-    same = (F.lag("size").over(w) == F.col("size")) & (F.lag("mtime").over(w) == F.col("mtime")) & (F.lag("poll").over(w) == F.col("poll") - 1)
-    return polls.withColumn("stable", F.coalesce(same, F.lit(False)))
+    met = last_before(polls, ["name"], "poll", {"was": F.struct("poll", "size", "mtime")}, blocks)
+    same = (F.col("was.size") == F.col("size")) & (F.col("was.mtime") == F.col("mtime")) & (F.col("was.poll") == F.col("poll") - 1)
+    return met.withColumn("stable", F.coalesce(same, F.lit(False))).drop("was")
 
 
 def ledger_at(spark: SparkSession, path: str, batch: DataFrame | None = None) -> DataFrame:
