@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,12 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    If neither is set, a folder under the warehouse, which is shared as well; never a machine's own
-    temporary folder.
+    If neither is set, a folder under the warehouse. On a cluster that must not be a machine's own
+    (``file:``), which other machines don't see; with a local master there is only one machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.paperloom"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        one_machine = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+        if not one_machine and (warehouse.startswith("file:") or ":" not in warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"{warehouse}/.paperloom"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found

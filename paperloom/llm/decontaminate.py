@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import checkpointed, chunks, mix, raw, unused, words
+from paperloom.llm.common import checkpointed, chunks, mix, raw, skew_join, unused, words
 
 WINDOW = 10
 #: Item text that one automaton holds; with more there are several, and runs of words are dealt to them.
@@ -301,11 +301,11 @@ def _hits_by_blocks(keyed: DataFrame, items: DataFrame, blocks: int, window: int
     held = keyed.sparkSession.sparkContext.broadcast(np.unpackbits(sieve.astype("<i8").view(np.uint8), bitorder="little").astype(bool))
     found = keyed.mapInArrow(lambda it: _segments(it, held.value, sizes), SEGMENT)
     runs = checkpointed(found.dropDuplicates(["k1", "k2", "pos"]))
-    where = runs.select("k1", "k2", "pos", F.explode("hs").alias("h")).join(windows.select("h", "block").distinct(), "h").select("k1", "k2", "pos", "block").distinct()
+    met = checkpointed(runs.select("k1", "k2", "pos", F.explode("hs").alias("h")))
+    homes = windows.groupBy("h").agg(F.collect_set("block").alias("blocks")).join(met.groupBy("h").agg(F.count("*").alias("n")), "h")
+    where = skew_join(met, checkpointed(homes), ["h"], met.count()).select("k1", "k2", "pos", F.explode("blocks").alias("block")).distinct()
     dealt = checkpointed(runs.drop("hs").join(where, ["k1", "k2", "pos"]))
-    salts = max(1, -(-dealt.count() // GROUP_RUNS))
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.lit(salts)).cast("int"))
-    spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt, spread = _salted(dealt, named)
     kind = "k1 bigint, k2 bigint, spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
 
     def stream(runs: pa.Table, items: pa.Table) -> pa.Table:
@@ -327,6 +327,14 @@ def _hits_by_blocks(keyed: DataFrame, items: DataFrame, blocks: int, window: int
     return made.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
+def _salted(dealt: DataFrame, named: DataFrame, group: int = GROUP_RUNS) -> tuple[DataFrame, DataFrame]:
+    """Runs and items by block and ``salt``: as many salts as a block's own runs are worth, its items copied to each."""
+    sizes = checkpointed(dealt.groupBy("block").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / group).cast("int")))
+    told = skew_join(dealt, sizes, ["block"], dealt.count())
+    runs = told.withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.col("salts")).cast("int")).drop("salts")
+    return runs, named.join(sizes, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "n")
+
+
 def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
     """``docs`` with ``hit_spans`` (word positions and byte offsets), ``items`` and ``n_words``.
 

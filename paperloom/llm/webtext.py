@@ -9,6 +9,9 @@ and are left out. Other words score positive, or negative where words at that pl
 labelled pages; tags score negative by their weights. One linear scan finds the contiguous run of the
 highest total, and its blocks are the text. On tables without labelled pages the weights are the prior
 alone: few pseudo-counts for the elements and names of page furniture, which labelled pages outvote.
+Tags within content elements, and tags without content of their own, cost nothing, so that tables,
+figures and breaks part no article. A page may have several articles: other maximal runs are kept as
+well where they hold words of a content element.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ LABELLED_PAGES, MOST_WEIGHTS = 1_000, 20_000
 CUT = -1.0
 #: Pseudo-counts (inside, outside) of a feature, and of one that names page furniture.
 PRIOR, FURNITURE = (1.0, 1.0), (0.5, 4.0)
-WORD, LINK_WORD, LEAST_TAG, MOST_TAG = 1.0, 0.1, -3.0, -0.05
+WORD, LINK_WORD, LEAST_TAG, MOST_TAG, BORDER = 1.0, 0.1, -3.0, -0.05, -0.5
 #: Scores of the tags of links and lists that no labelled page has.
 LIST_TAGS = {"a": -2.0, "li": -1.0, "option": -2.0}
 #: Elements and names of page furniture (the prior), blocks, and elements without an end tag.
@@ -82,15 +85,6 @@ def tokens(page: str) -> Iterator[tuple[str, str, list[str]]]:
             yield "close", tag, []
 
 
-def noted(values: list[str]) -> bool:
-    """Whether a class, id or role as a whole names what is no content."""
-    for v in values:
-        ws = {w for w in SPLIT.split(v) if w and not w.isdigit()}
-        if ws & NEVER_WORDS and ws <= NEVER_WORDS | BESIDE:
-            return True
-    return False
-
-
 @dataclass(slots=True)
 class Element:
     tag: str
@@ -237,8 +231,33 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return first, last
 
 
-def scored(page: str, weights: dict[str, float]) -> tuple[list[tuple[str, str, bool]], list[float]]:
-    """(kind, value, left out) in page order, and their scores."""
+def maximal_runs(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal runs in order: the best one, and in turn those to its left and right.
+
+    One pass. A run in the making is kept with the totals before its start and up to its end, and
+    with the last run before it whose start lies lower; a new one swallows all that it can raise.
+    """
+    runs: list[tuple[int, int, float, float, int]] = []
+    total = 0.0
+    for k, x in enumerate(scores):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        first, low, high = k, before, total
+        at = len(runs) - 1
+        while True:
+            while at >= 0 and runs[at][2] >= low:
+                at = runs[at][4]
+            if at < 0 or runs[at][3] >= high:
+                break
+            first, low, at = runs[at][0], runs[at][2], at - 1
+            del runs[at + 1 :]
+        runs.append((first, k + 1, low, high, at))
+    return [(a, b) for a, b, *_ in runs]
+
+
+def scored(page: str, weights: dict[str, float]) -> tuple[list[tuple[str, str, bool, bool]], list[float]]:
+    """(kind, value, left out, whether words of a content element) in page order, and their scores."""
     elements, found = pieces(page)
     gone, own = [False] * len(elements), [0.0] * len(elements)
     link = [e.tag == "a" and not e.within for e in elements]
@@ -249,12 +268,15 @@ def scored(page: str, weights: dict[str, float]) -> tuple[list[tuple[str, str, b
     tokens, scores = [], []
     for kind, value, k in found:
         e = elements[k]
-        tokens.append((kind, value, gone[k]))
+        content = e.within or e.tag in CONTENT
+        tokens.append((kind, value, gone[k], content and kind == "text" and not gone[k] and not value.isspace()))
         if kind == "text":
             place = weights.get("text " + features(e)[-1], 0.0)
             worth = -WORD if place < CUT else LINK_WORD if link[k] else WORD
             scores.append(0.0 if gone[k] else worth * len(value.split()))
-        elif kind == "open" and not gone[e.parent]:
+        elif kind == "open" and e.tag in CONTENT and not e.within and not gone[k]:
+            scores.append(BORDER)  # a stray link before it isn't drawn in
+        elif kind == "open" and not gone[e.parent] and not content and value not in VOID:
             # what is left out costs little: text goes on after it
             unseen = LIST_TAGS.get(value, MOST_TAG) if not e.within and features(e)[-1] not in weights else MOST_TAG
             scores.append(MOST_TAG * 10 if gone[k] else max(LEAST_TAG, min(unseen, own[k])))
@@ -265,17 +287,20 @@ def scored(page: str, weights: dict[str, float]) -> tuple[list[tuple[str, str, b
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     tokens, scores = scored(page or "", weights)
-    first, last = best_run(scores)
+    best = best_run(scores)
+    others = [(a, b) for a, b in maximal_runs(scores) if (b <= best[0] or a >= best[1]) and any(t[3] for t in tokens[a:b])]
     blocks, now = [], []
-    for kind, value, gone in tokens[first:last]:
-        if kind == "break":
-            blocks.append("".join(now))
-            now = []
-        elif kind == "text" and not gone:
-            now.append(html.unescape(value))
-        elif kind == "open" and value == "br":
-            now.append(" ")
-    blocks.append("".join(now))
+    for first, last in sorted([best, *others]):
+        for kind, value, gone, _ in tokens[first:last]:
+            if kind == "break":
+                blocks.append("".join(now))
+                now = []
+            elif kind == "text" and not gone:
+                now.append(html.unescape(value))
+            elif kind == "open" and value == "br":
+                now.append(" ")
+        blocks.append("".join(now))
+        now = []
     cleaned = (SPACE.sub(" ", b).strip() for b in blocks)
     return "\n\n".join(b for b in cleaned if b)
 

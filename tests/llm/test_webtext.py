@@ -130,19 +130,61 @@ class Plain(HTMLParser):
         own = sum(X.weight(self.weights, f) for f in X.features(e))
         gone = around[1] or own < X.CUT
         unseen = X.MOST_TAG if e.within or X.features(e)[-1] in self.weights else X.LIST_TAGS.get(tag, X.MOST_TAG)
-        cost = 0.0 if around[1] else 10 * X.MOST_TAG if gone else max(X.LEAST_TAG, min(unseen, own))
-        self.made += [(None, 0.0), (None, cost)] if tag in X.BLOCKS else [("", cost)]
+        free = around[1] or e.within or tag in ("article", "main")
+        cost = X.BORDER if tag in ("article", "main") and not e.within and not gone else 0.0 if free else 10 * X.MOST_TAG if gone else max(X.LEAST_TAG, min(unseen, own))
+        self.made += [(None, 0.0, False), (None, cost, False)] if tag in X.BLOCKS else [("", cost, False)]
         self.open.append((tag, gone, e.within, around[3] or tag == "a" and not e.within))
 
     def handle_endtag(self, tag):
         self.open.pop()
-        self.made.append((None, 0.0) if tag in X.BLOCKS else ("", 0.0))
+        self.made.append((None, 0.0, False) if tag in X.BLOCKS else ("", 0.0, False))
 
     def handle_data(self, data):
         tag, gone, within, link = self.open[-1]
         place = self.weights.get("text " + ("in " if within else "") + tag, 0.0)
         worth = -1.0 if place < X.CUT else 0.1 if link else 1.0
-        self.made.append(("" if gone else data, 0.0 if gone else worth * len(data.split())))
+        self.made.append(("" if gone else data, 0.0 if gone else worth * len(data.split()), not gone and (within or tag in ("article", "main")) and bool(data.strip())))
+
+
+def runs_of(scores, first=0):
+    """The best run, and in turn those to its left and right."""
+    best, a, b = brute_run(scores)
+    return [] if best <= 0 else runs_of(scores[:a], first) + [(first + a, first + b)] + runs_of(scores[b:], first + b)
+
+
+def test_maximal_runs_are_as_brute_force():
+    r = random.Random(12)
+    for _ in range(800):
+        scores = [r.choice([-3, -2, -1.5, -1, 1, 1.25, 2, 3, 0.5]) + r.random() / 1000 for _ in range(r.randrange(0, 24))]
+        assert X.maximal_runs(scores) == runs_of(scores), scores
+
+
+def test_tags_part_no_article():
+    """Pages without labels: figures, empty cells and breaks in content cost nothing, several articles stay."""
+    def text(page):
+        return X.main_text(page, {})
+
+    assert text("<article><p>Two words</p>" + "<figure><img></figure>" * 30 + "<p>tail of many more words than that</p></article>") == "Two words\n\ntail of many more words than that"
+    assert text("<main><p>intro of five words here</p><table>" + "<tr><td></td><td></td></tr>" * 40 + "</table><p>closing words that are many more than the intro had</p></main>") == "intro of five words here\n\nclosing words that are many more than the intro had"
+    assert text("<article>one short note</article><a href=x>x</a><a href=y>y</a><a href=z>z</a><article>another note of more words</article>") == "one short note\n\nanother note of more words"
+    assert text("<body><p>word</p>" + "<br>" * 400 + "<p>and a longer text behind it</p></body>") == "word\n\nand a longer text behind it"
+
+
+def test_furniture_without_names_is_left_out_by_the_run():
+    """Nothing names the furniture: the whole page as the run has it, and constant weights have it as well."""
+    r = random.Random(13)
+    for _ in range(30):
+        paragraphs = [told(r, r.randrange(12, 40)) for _ in range(r.randrange(1, 5))]
+        list_of = lambda: "<div>" + "".join(f"<a href=/{k}>{told(r, 1)}</a>" for k in range(r.randrange(3, 9))) + "</div>"
+        page = f"<html><body>{list_of()}<div>{''.join(f'<p>{p}</p>' for p in paragraphs)}</div>{list_of()}</body></html>"
+        want = "\n\n".join(paragraphs)
+        assert X.main_text(page, {}) == want
+        tokens, scores = X.scored(page, {})
+        whole = " ".join(" ".join(v.split()) for k, v, gone, _ in tokens if k == "text" and not gone)
+        assert whole.split() != want.split()
+        constant = [1.0 if k == "text" else 0.0 for k, *_ in tokens]
+        a, b = X.best_run(constant)
+        assert " ".join(v for k, v, *_ in tokens[a:b] if k == "text").split() != want.split()
 
 
 def grown(r, depth=0):
@@ -159,8 +201,10 @@ def test_main_text_is_as_brute_force():
         weights = {f: r.uniform(-3, 3) for f in (".story", "in .story", ".zx", "in .zx", "nav", "li", "in div", "text div", "text in p", "text body") if r.random() < 0.7}
         plain = Plain(weights)
         plain.feed(page)
-        _, a, b = brute_run([x for _, x in plain.made])
-        text = "".join("\0" if t is None else t for t, _ in plain.made[a:b])
+        scores = [x for _, x, _ in plain.made]
+        _, first, last = brute_run(scores)
+        others = [(a, b) for a, b in runs_of(scores) if (b <= first or a >= last) and any(x[2] for x in plain.made[a:b])]
+        text = "\0".join("".join("\0" if t is None else t for t, *_ in plain.made[a:b]) for a, b in sorted([(first, last), *others]))
         want = "\n\n".join(t for t in (" ".join(x.split()) for x in text.split("\0")) if t)
         assert X.main_text(page, weights) == want, page
 
