@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import fields as C
 from paperloom.functions import tables as V
 from paperloom.operators.carry import last_before
+from paperloom.operators.closest import closest
 
 
 #: Bits of whole fingerprints.
@@ -88,29 +91,30 @@ def closest_pairs(prints: DataFrame, k: int = 6, threshold: int = V.HAMMING_THRE
     return candidate_pairs(prints, threshold).orderBy("distance", "seq", "cand").limit(k)
 
 
-def closest_by_label(prints: DataFrame, k: int = 6, radii: tuple[int, ...] = (2, 4, 8, 16, 24, 32, 63)) -> DataFrame:
-    """same_label, rank, seq, cand, distance: the k closest of all pairs of equal and of different labels.
-
-    The banded search is widened for each class until it has k pairs (or all there are). Of documents
-    with one fingerprint and label the k + 1 least seqs take part: no others are in the k first pairs.
-    """
+def _few(prints: DataFrame, k: int) -> DataFrame:
+    """Of documents with one fingerprint and label the k + 1 least seqs: no others are in the k first pairs."""
     by = ["fp", "label"]
     few = prints.select("seq", *by).withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(64)))
     for keys in ([*by, "salt"], by):
         few = few.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy("seq"))).where(F.col("nth") <= k + 1)
-    few = few.select("seq", *by)
-    totals = pairs_by_label(prints).collect()
-    out = None
-    for total in totals:
-        for radius in radii:
-            found = candidate_pairs(few, radius, total.same_label).orderBy("distance", "seq", "cand").limit(k)
-            rows = found.collect()
-            if len(rows) >= min(k, total.pairs) or radius == radii[-1]:
-                break
-        made = [(total.same_label, n + 1, *r) for n, r in enumerate(rows)]
-        made = prints.sparkSession.createDataFrame(made, "same_label boolean, rank bigint, seq bigint, cand bigint, distance bigint")
-        out = made if out is None else out.union(made)
-    return out
+    return few.select("seq", *by)
+
+
+def closest_by_label(prints: DataFrame, k: int = 6, bits: int = 64, wide: bool = False, told: dict | None = None) -> DataFrame:
+    """same_label, rank, seq, cand, distance: the k closest of all pairs of equal and of different labels.
+
+    Exact, by rings of blocks of bits (``closest``); ``wide`` fingerprints are arrays of four words.
+    """
+    value, distance = (C.wide_band, C.wide_hamming) if wide else (lambda fp, i, m: band(fp, i, m, bits), C.hamming)
+    few, made = _few(prints, k), []
+    for same in (True, False):
+        on = F.col("x_label").eqNullSafe(F.col("y_label"))
+        seen: dict = {}
+        found = closest(few, k, WIDE_BITS if wide else bits, value, distance, on if same else ~on, seen)
+        made += [(same, n + 1, seq, cand, far) for n, (far, seq, cand) in enumerate(found)]
+        if told is not None:
+            told[same] = seen
+    return prints.sparkSession.createDataFrame(made, "same_label boolean, rank bigint, seq bigint, cand bigint, distance bigint")
 
 
 def pairs_by_label(prints: DataFrame) -> DataFrame:
@@ -179,21 +183,33 @@ def wide_nearest(prints: DataFrame, threshold: int = V.HAMMING_THRESHOLD) -> Dat
     return first.union(later)
 
 
-def wide_floor(prints: DataFrame, radii: tuple[int, ...] = (8, 16, 32, 64, 128, 256)) -> DataFrame:
+def wide_floor(prints: DataFrame) -> DataFrame:
     """same_label, floor: the least distance of documents of equal and of different labels, over all pairs.
 
-    The banded search is widened until each class has a pair; a class without pairs has no row.
+    A class without pairs has no row.
     """
-    copies = prints.groupBy("fp", "label").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    shared = prints.groupBy("fp").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").limit(1).count()
-    out = [(same, 0) for same, n in ((True, copies), (False, shared)) if n]
-    for same in {True, False} - {s for s, _ in out}:
-        for radius in radii:
-            floor = wide_links(prints, radius, same).agg(F.min("distance")).first()[0]
-            if floor is not None:
-                out.append((same, floor))
-                break
-    return prints.sparkSession.createDataFrame(out, "same_label boolean, floor bigint")
+    return closest_by_label(prints, 1, wide=True).select("same_label", F.col("distance").alias("floor"))
+
+
+def calibration_checks(prints: DataFrame, variants: list[Callable[[Column], Column]], threshold: int = V.HAMMING_THRESHOLD, delta: float = 0.5, cutoff: int = V.PIXEL_CUTOFF, k: int = 6) -> DataFrame:
+    """check, value, passes: whether threshold and cutoff part copies from different documents (seq, label, vec, fp).
+
+    copies_band: the most bits in which a document's variants differ from it, at most the threshold.
+    cross_floor: the least distance of different labels, over the threshold. copies_cells: the most
+    cells that a variant changes by over ``delta``, at most the cutoff. distinct_cells: the least such
+    cells of the k closest pairs of one label, over the cutoff. Without rows a value is null.
+    """
+    changed = prints.select("vec", "fp", F.explode(F.array(*[v(F.col("vec")) for v in variants])).alias("made"))
+    told = changed.agg(F.max(C.hamming(F.col("fp"), C.difference_hash(F.col("made")))).cast("bigint").alias("copies_band"), F.max(changed_cells(F.col("vec"), F.col("made"), delta)).cast("bigint").alias("copies_cells"))
+    closest_ = closest_by_label(prints, k)
+    cross = closest_.where("NOT same_label").agg(F.min("distance").alias("cross_floor"))
+    left, right = prints.select("seq", F.col("vec").alias("va")), prints.select(F.col("seq").alias("cand"), F.col("vec").alias("vb"))
+    some = F.broadcast(closest_.where("same_label").select("seq", "cand"))  # k rows
+    distinct = some.join(left, "seq").join(right, "cand").agg(F.min(changed_cells(F.col("va"), F.col("vb"), delta)).cast("bigint").alias("distinct_cells"))
+    one = told.crossJoin(cross).crossJoin(distinct)  # single rows
+    rows = one.selectExpr("stack(4, 'copies_band', copies_band, 'cross_floor', cross_floor, 'copies_cells', copies_cells, 'distinct_cells', distinct_cells) AS (check, value)")
+    passes = F.when(F.col("check") == "copies_band", F.col("value") <= threshold).when(F.col("check") == "cross_floor", F.col("value") > threshold).when(F.col("check") == "copies_cells", F.col("value") <= cutoff).otherwise(F.col("value") > cutoff)
+    return rows.withColumn("passes", passes)
 
 
 def calibrated(floors: DataFrame, threshold: int = V.HAMMING_THRESHOLD) -> DataFrame:

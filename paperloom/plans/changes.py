@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import replay
+from paperloom.operators import dedup, replay
+from paperloom.plans import queries
 from paperloom.plans.queries import query
 from paperloom.sources import domain as D
 from paperloom.streaming import inbox
@@ -98,3 +99,29 @@ SQL["replayed_checklists"] = f"""WITH RECURSIVE {CHANGED},
   had AS (SELECT client_id AS c, doc_type AS t, row_number() OVER (PARTITION BY client_id ORDER BY doc_type) AS pos FROM (SELECT DISTINCT client_id, doc_type FROM docs WHERE status = 'confirmed')),
   kept AS (SELECT c, t, pos AS place FROM had ANTI JOIN offs USING (c, t) UNION ALL SELECT c, t, 1000 + on_at FROM ons WHERE (c, t) NOT IN (SELECT (c, t) FROM had ANTI JOIN offs USING (c, t)))
   SELECT c_custkey AS id, coalesce(string_agg(t, ',' ORDER BY place), '') AS received FROM customer LEFT JOIN kept ON c_custkey = c GROUP BY 1"""
+
+
+# --- closest pairs ---
+
+PRINTS = """prints AS (SELECT vec_id AS seq, label, embedding AS vec, CAST(list_sum([CASE WHEN embedding[i] > embedding[i + 1] THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END for i in range(1, 64)]) AS BIGINT) AS fp FROM embeddings),
+  p AS (SELECT a.label IS NOT DISTINCT FROM b.label AS same_label, a.seq, b.seq AS cand, CAST(bit_count(xor(a.fp, b.fp)) AS BIGINT) AS distance, a.vec AS va, b.vec AS vb FROM prints a JOIN prints b ON b.seq < a.seq),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY same_label ORDER BY distance, seq, cand) AS rank FROM p QUALIFY rank <= 6)"""
+SQL["closest_pairs_by_label"] = f"WITH {PRINTS} SELECT same_label, rank, seq, cand, distance FROM ranked"
+SQL["dedup_floors"] = f"WITH {PRINTS} SELECT same_label, min(distance) AS floor, count(*) AS pairs, CASE WHEN NOT same_label THEN 16 < min(distance) END AS threshold_below FROM p GROUP BY 1"
+
+
+@query
+def calibration_checks(spark, sf):
+    """Variants: halved, rounded to two places, each eighth cell moved a little."""
+    nudged = lambda v: F.transform(v, lambda x, i: x + F.when(i % 8 == 0, F.lit(0.03125)).otherwise(F.lit(0.0)))
+    variants = [lambda v: F.transform(v, lambda x: (x / 2).cast("double")), lambda v: F.transform(v, lambda x: F.floor(x * 64) / 64), lambda v: F.transform(nudged(v), lambda x: x.cast("double"))]
+    return dedup.calibration_checks(queries._prints(spark, sf), variants, delta=0.125)
+
+
+SQL["calibration_checks"] = f"""WITH {PRINTS},
+  made AS (SELECT fp, vec, unnest([list_transform(vec, lambda x: CAST(x / 2 AS DOUBLE)), list_transform(vec, lambda x: floor(CAST(x AS DOUBLE) * 64) / 64), list_transform(vec, lambda x, i: CAST(x AS DOUBLE) + CASE WHEN (i - 1) % 8 = 0 THEN 0.03125 ELSE 0 END)]) AS m FROM prints),
+  c AS (SELECT max(bit_count(xor(fp, CAST(list_sum([CASE WHEN m[i] > m[i + 1] THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END for i in range(1, 64)]) AS BIGINT)))) AS band, max(len([1 for i in range(1, len(vec) + 1) if abs(CAST(vec[i] AS DOUBLE) - m[i]) > 0.125])) AS cells FROM made),
+  v AS (SELECT 'copies_band' AS check, CAST(band AS BIGINT) AS value, band <= 16 AS passes FROM c UNION ALL SELECT 'copies_cells', CAST(cells AS BIGINT), cells <= 6 FROM c
+    UNION ALL SELECT 'cross_floor', min(distance), min(distance) > 16 FROM p WHERE NOT same_label
+    UNION ALL SELECT 'distinct_cells', CAST(min(n) AS BIGINT), min(n) > 6 FROM (SELECT len([1 for i in range(1, len(va) + 1) if abs(va[i] - vb[i]) > 0.125]) AS n FROM ranked WHERE same_label))
+  SELECT * FROM v"""

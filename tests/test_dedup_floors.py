@@ -29,3 +29,49 @@ def test_floors_and_closest_pairs_are_as_brute_force(spark, spread):
 def test_floors_of_an_empty_table(spark):
     d = spark.createDataFrame([], "seq bigint, fp bigint, label int")
     assert dedup.closest_by_label(d).collect() == [] and {(x.floor, x.pairs) for x in dedup.floors(d).collect()} == {(None, 0)}
+
+
+def _counted(rows, k):
+    import numpy as np
+
+    fp = np.array([x for _, x, _ in rows], np.uint64)
+    label = np.array([y for *_, y in rows])
+    out = {}
+    for same in (True, False):
+        best = []
+        for i in range(1, len(rows)):
+            d = np.bitwise_count(fp[:i] ^ fp[i])
+            d = np.where((label[:i] == label[i]) == same, d, 255)
+            few = np.argpartition(d, min(k, i - 1))[: k + 1] if i > k else np.arange(i)
+            best = sorted(best + [(int(d[j]), i, int(j)) for j in few.tolist() if d[j] < 255] + [(int(d[j]), i, int(j)) for j in np.flatnonzero(d == d[few].max())[:k].tolist() if d[j] < 255])
+            best = sorted(set(best))[:k]
+        out[same] = best
+    return out
+
+
+def test_few_pairs_are_compared(spark):
+    """Groups of forms that share most bits, and forms of their own: under 5 % of all pairs are looked at."""
+    r = random.Random(4)
+    bases = [r.getrandbits(63) for _ in range(40)]
+    rows = []
+    for k in range(20_000):
+        which = r.randrange(40)
+        x = bases[which] if k % 2 else r.getrandbits(63)
+        rows.append((k, x ^ sum(1 << b for b in r.sample(range(63), r.randrange(6, 20))) if k % 2 else x, which if k % 2 else r.randrange(40)))
+    d = spark.createDataFrame(rows, "seq bigint, fp bigint, label int")
+    told = {}
+    got = {same: [] for same in (True, False)}
+    for x in dedup.closest_by_label(d, 6, told=told).collect():
+        got[x.same_label].append((x.distance, x.seq, x.cand))
+    assert {same: sorted(v) for same, v in got.items()} == _counted(rows, 6)
+    assert all(t["compared"] < 0.05 * len(rows) ** 2 / 2 for t in told.values()), told
+
+
+def test_wide_floors_far_apart(spark):
+    r = random.Random(9)
+    low = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [r.getrandbits(256) for _ in range(3)]
+    rows = [(k, base[k % 3] ^ sum(1 << b for b in r.sample(range(256), 20)), k % 3) for k in range(60)]
+    want = {same: min((x ^ y).bit_count() for a, x, la in rows for b, y, lb in rows if b < a and (la == lb) == same) for same in (True, False)}
+    d = spark.createDataFrame([(k, [low(x >> (64 * w) & (1 << 64) - 1) for w in range(4)], label) for k, x, label in rows], "seq bigint, fp array<bigint>, label int")
+    assert {x.same_label: x.floor for x in dedup.wide_floor(d).collect()} == want and want[False] > 80
