@@ -5,13 +5,16 @@ The SQL states its tables and rules in full, without the engine's own.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators import dedup, replay
 from paperloom.plans import queries
 from paperloom.plans.queries import query
 from paperloom.sources import domain as D
-from paperloom.streaming import inbox
+from paperloom.streaming import hours, inbox
 
 SQL: dict[str, str] = {}
 
@@ -125,3 +128,28 @@ SQL["calibration_checks"] = f"""WITH {PRINTS},
     UNION ALL SELECT 'cross_floor', min(distance), min(distance) > 16 FROM p WHERE NOT same_label
     UNION ALL SELECT 'distinct_cells', CAST(min(n) AS BIGINT), min(n) > 6 FROM (SELECT len([1 for i in range(1, len(va) + 1) if abs(va[i] - vb[i]) > 0.125]) AS n FROM ranked WHERE same_label))
   SELECT * FROM v"""
+
+
+# --- hours that add up ---
+
+
+def _stored(spark, sf):
+    """The log in seven batches, each turned into cells by itself."""
+    events = D.events(spark, sf)
+    parts = [hours.cells(events.where(F.col("seq") % 7 == k)) for k in range(7)]
+    return hours.merged(reduce(DataFrame.unionByName, parts)), events
+
+
+@query
+def stored_hours(spark, sf):
+    return hours.hourly(_stored(spark, sf)[0])
+
+
+@query
+def stored_totals(spark, sf):
+    return hours.totals(hours.in_window(*_stored(spark, sf), 24))
+
+
+@query
+def stored_latency(spark, sf):
+    return hours.latency(hours.in_window(*_stored(spark, sf), 24))

@@ -242,3 +242,5 @@ ORACLE_SQL: dict[str, str] = {
   SELECT poll, name, coalesce(lag(size) OVER w = size AND lag(poll) OVER w = poll - 1, false) AS stable FROM p WINDOW w AS (PARTITION BY name ORDER BY poll)""",
 }
 ORACLE_SQL |= intake.SQL | changes.SQL
+#: The same reports, added up from stored hours.
+ORACLE_SQL |= {f"stored_{a}": ORACLE_SQL[f"timeline_{b}"] for a, b in (("hours", "hourly"), ("totals", "totals"), ("latency", "latency"))}
