@@ -17,9 +17,13 @@ BLOCK_ROWS, MOST_BLOCKS = 1_000_000, 256
 BLOCK = "__block"
 
 
+def blocks_for(rows: int) -> int:
+    return min(MOST_BLOCKS, rows // BLOCK_ROWS + 1)
+
+
 def _bounds(rows: DataFrame, order: str, blocks: int | None) -> list:
     if blocks is None:
-        blocks = min(MOST_BLOCKS, rows.count() // BLOCK_ROWS + 1)
+        blocks = blocks_for(rows.count())
     if blocks < 2:
         return []
     found = rows.agg(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], F.lit(10_000))).first()[0] or []

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions import fields as C
-from paperloom.operators.carry import last_before
+from paperloom.operators.carry import blocks_for, last_before, running_sum
 from paperloom.operators.checklist import unchecked_after_delete
+from paperloom.operators.steps import settled
 
 FIELD = "doc_id bigint, key string, value string, corrected boolean, original_value string, low_confidence boolean"
 
@@ -102,37 +103,76 @@ def delete_clients(clients: DataFrame, docs: DataFrame, ids: DataFrame) -> DataF
     return clients.join(free, "id", "left_anti")
 
 
-def mint_client_ids(names: DataFrame, taken: DataFrame) -> DataFrame:
+def mint_client_ids(names: DataFrame, taken: DataFrame, blocks: int | None = None) -> DataFrame:
     """seq, client_id for new clients (seq, name): client_<slug>, or the first free client_<slug>_n from 2 on.
 
-    Exact for taken ids (id) and in order of seq. Slugs that could meet (one is the other with a number
-    behind it) share a stem and are dealt out together; a stem's names are streamed in order.
+    As one by one in order of seq, with ``taken`` (id) before. The names of a base take its lowest
+    free numbers (1 is the base itself) in their order: the k-th of them is k plus the taken numbers
+    that have fewer free ones below. Both counts are running sums over blocks, so that no base lies
+    in one task. Bases that are another base with a number behind it compete for that one id first
+    (``_rivals``).
     """
     base = F.concat(F.lit("client_"), C.slugify(F.col("name")))
-    stem = lambda c: F.regexp_replace(c, r"(_\d+)+$", "")
-    new = names.select("seq", base.alias("base"), stem(base).alias("stem"))
-    old = taken.select(F.lit(None).cast("bigint").alias("seq"), F.col("id").alias("base"), stem(F.col("id")).alias("stem"))
-    dealt = old.unionByName(new).repartition("stem").sortWithinPartitions("stem", F.col("seq").asc_nulls_first())
+    if blocks is None:
+        blocks = blocks_for(names.count() + taken.count())
+    own = settled(running_sum(names.select("seq", base.alias("base")), ["base"], "seq", F.lit(1), "nth", blocks))
+    bases = own.groupBy("base").agg(F.min("seq").alias("first"))
+    old = taken.select(F.col("id").alias("base"), F.lit(1).cast("bigint").alias("n")).union(_numbered(taken.select("id"), "id").select("stem", "n")).distinct()
+    old = settled(old.join(bases.select("base"), "base", "left_semi"))
+    edges = _numbered(bases, "base").join(bases.select(F.col("base").alias("stem")), "stem", "left_semi").select(F.col("base").alias("child"), "stem", "n", "first", _depth("stem").alias("depth"))
+    edges = settled(edges.join(old.where("n = 1").select(F.col("base").alias("child")), "child", "left_anti"))
+    for depth in sorted(r[0] for r in edges.select("depth").distinct().collect()):  # as many as numbers stand in a row
+        old = settled(_rivals(own, old, edges.where(F.col("depth") == depth), blocks))
+    free = _taken_below(old, blocks).select("base", (2 * (F.col("n") - F.col("rank"))).alias("at"), F.lit(1).alias("skip"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("nth"))
+    asked = own.select("base", (2 * (F.col("nth") - 1) + 1).alias("at"), F.lit(0).alias("skip"), "seq", "nth")
+    placed = running_sum(free.unionByName(asked), ["base"], "at", F.col("skip"), "skipped", blocks).where("seq IS NOT NULL")
+    number = F.col("nth") + F.col("skipped")
+    return placed.select("seq", F.when(number == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), number.cast("string"))).alias("client_id"))
 
-    def mint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used, after = None, set(), {}
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` whose ``name`` is a stem and a number as minting writes it (from 2 on), with ``stem`` and ``n``."""
+    parts = r"^(.*)_([1-9][0-9]{0,17})$"
+    cut = rows.where(F.col(name).rlike(parts)).withColumns({"stem": F.regexp_extract(name, parts, 1), "n": F.regexp_extract(name, parts, 2).cast("bigint")})
+    return cut.where("n > 1")
+
+
+def _depth(name: str) -> Column:
+    return F.size(F.split(F.regexp_extract(name, r"((?:_[0-9]+)*)$", 1), "_"))
+
+
+def _taken_below(old: DataFrame, blocks: int | None) -> DataFrame:
+    """``old`` (base, n) with ``rank``: a number's place among its base's taken ones, from 1."""
+    return running_sum(old, ["base"], "n", F.lit(1), "rank", blocks)
+
+
+def _rivals(own: DataFrame, old: DataFrame, edges: DataFrame, blocks: int | None) -> DataFrame:
+    """``old`` with what the contests for ids (child = stem_n) decide: n is taken for the stem, or 1 for the child.
+
+    The child's first name (seq ``first``) gets the id unless the stem has reached the number by then:
+    unless more of its names came before than there are free numbers below. What children of lower
+    numbers have won isn't free. That count runs along the numbers of a stem in constant memory.
+    """
+    came = own.select("base", "seq", F.lit(1).alias("one"), F.lit(None).cast("string").alias("child")).unionByName(edges.select(F.col("stem").alias("base"), F.col("first").alias("seq"), F.lit(0).alias("one"), "child"))
+    before = running_sum(came, ["base"], "seq", F.col("one"), "before", blocks).where("child IS NOT NULL").select("child", "before")
+    held = old.select("base", (2 * F.col("n")).alias("at"), F.lit(1).alias("one"), F.lit(None).cast("string").alias("child")).unionByName(edges.select(F.col("stem").alias("base"), (2 * F.col("n") - 1).alias("at"), F.lit(0).alias("one"), "child"))
+    below = running_sum(held, ["base"], "at", F.col("one"), "below", blocks).where("child IS NOT NULL").select("child", "below")
+    met = edges.join(before, "child").join(below, "child").select("stem", "n", "child", (F.col("n") - 1 - F.col("below") - F.col("before")).alias("room"))
+
+    def contest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, won = None, 0
         for pdf in batches:
             out = []
-            for seq, base, stem in zip(pdf.seq, pdf.base, pdf.stem, strict=True):
+            for stem, n, child, room in zip(pdf.stem, pdf.n, pdf.child, pdf.room, strict=True):
                 if stem != now:
-                    now, used, after = stem, set(), {}
-                if pd.isna(seq):
-                    used.add(base)
-                    continue
-                name, k = base, after.get(base, 2)
-                while name in used:
-                    name, k = f"{base}_{k}", k + 1
-                after[base] = k
-                used.add(name)
-                out.append((int(seq), name))
-            yield pd.DataFrame(out, columns=["seq", "client_id"]).astype({"seq": "int64", "client_id": "object"})
-
-    return dealt.mapInPandas(mint, "seq bigint, client_id string")
+                    now, won = stem, 0
+                wins = room >= won
+                won += wins
+                out.append((stem, int(n)) if wins else (child, 1))
+            yield pd.DataFrame(out, columns=["base", "n"]).astype({"base": "object", "n": "int64"})
+
+    decided = met.repartition("stem").sortWithinPartitions("stem", "n").mapInPandas(contest, "base string, n bigint")
+    return old.unionByName(decided).distinct()
 
 
 def import_plan(rows: DataFrame, clients: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.operators import dedup, replay
+from paperloom.functions import tables as V
+from paperloom.operators import checklist, dedup, extraction, replay
 from paperloom.plans import queries
 from paperloom.plans.queries import query
 from paperloom.sources import domain as D
@@ -153,3 +154,41 @@ def stored_totals(spark, sf):
 @query
 def stored_latency(spark, sf):
     return hours.latency(hours.in_window(*_stored(spark, sf), 24))
+
+
+# --- queries of other modules ---
+
+#: One name after another within a stem, with the list of what is used so far.
+SQL["client_id_mint"] = r"""WITH RECURSIVE t AS (SELECT c_custkey AS seq, 'client_' || trim(regexp_replace(lower(c_mktsegment || CASE WHEN c_custkey % 7 = 0 THEN ' 2' WHEN c_custkey % 11 = 0 THEN '!' ELSE '' END), '[^a-z0-9]+', '_', 'g'), '_') AS base FROM customer),
+  s AS (SELECT *, regexp_replace(base, '(_[0-9]+)+$', '') AS stem FROM t), o AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY seq) AS n, count(*) OVER (PARTITION BY stem) AS most FROM s),
+  m AS (SELECT stem, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST('' AS VARCHAR) AS client_id, list_filter(['client_building', 'client_building_3', 'client_machinery_2'], lambda x: regexp_replace(x, '(_[0-9]+)+$', '') = stem) AS used FROM (SELECT DISTINCT stem FROM o)
+    UNION ALL
+    SELECT stem, n, seq, id, list_append(used, id) FROM (SELECT m.stem, o.n, o.seq, used, CASE WHEN NOT list_contains(used, base) THEN base ELSE base || '_' || list_filter(range(2, most + 5), lambda k: NOT list_contains(used, base || '_' || k))[1] END AS id FROM m JOIN o ON m.stem = o.stem AND o.n = m.n + 1))
+  SELECT seq, client_id FROM m WHERE n > 0"""
+SQL["documents_by_id"] = "SELECT o_orderkey AS seq, o_orderkey AS id, o_custkey AS client_id, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'extracted' ELSE 'pending' END AS status, o_orderpriority AS doc_type FROM orders"
+SQL["trace_responses"] = "SELECT conv_id AS doc_id, turn AS seq, CASE WHEN role <> 'system' THEN role END AS stage, text AS response, substring(text, 1, 240) AS head FROM conversations"
+SQL["wide_print_digits"] = """WITH v AS (SELECT vec_id AS seq, embedding AS e FROM embeddings), w AS (SELECT seq, list_transform(range(256), lambda i: CASE WHEN e[i % 64 + 1] > e[(i % 64 + i // 64 + 1) % 64 + 1] THEN 1 ELSE 0 END) AS b FROM v)
+  SELECT seq, array_to_string(list_transform(range(64), lambda k: substr('0123456789abcdef', CAST(8 * b[4 * k + 1] + 4 * b[4 * k + 2] + 2 * b[4 * k + 3] + b[4 * k + 4] + 1 AS BIGINT), 1)), '') AS phash FROM w"""
+
+
+@query
+def cascaded_types(spark, sf):
+    """A small model that recognises two forms of three, and a large one that misses one of seven."""
+    n = F.col("id")
+    small = F.when(n % 3 == 0, V.UNRECOGNIZED).otherwise(F.col("doc_type"))
+    large = F.when(n % 7 == 0, V.UNRECOGNIZED).otherwise(F.concat(F.col("doc_type"), F.lit(" (large)")))
+    return D.documents(spark, sf).select("id", extraction.cascaded(small, large).alias("doc_type"))
+
+
+SQL["cascaded_types"] = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority WHEN o_orderkey % 7 = 0 THEN 'UNRECOGNIZED' ELSE o_orderpriority || ' (large)' END AS doc_type FROM orders"
+
+
+@query
+def wrapped_fields(spark, sf):
+    """Amounts as a model reads them, some without digits; answers of every fifth document came at the second try."""
+    read = F.when(F.col("pos") == 3, "see form").otherwise(F.format_string("%.2f", "value"))
+    fields = D.fields(spark, sf).select("doc_id", F.lit("box1_wages").alias("key"), "pos", read.alias("value"))
+    return checklist.wrap_fields(fields, F.col("doc_id") % 5 == 0).select("doc_id", "pos", "value", "corrected", "low_confidence")
+
+
+SQL["wrapped_fields"] = """SELECT l_orderkey AS doc_id, l_linenumber AS pos, CASE l_linenumber WHEN 3 THEN 'see form' ELSE printf('%.2f', min(l_extendedprice)) END AS value, false AS corrected, l_linenumber = 3 OR l_orderkey % 5 = 0 AS low_confidence FROM lineitem GROUP BY 1, 2"""

@@ -149,8 +149,18 @@ SQL["reminder_prompts"] = """WITH p AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-
 
 @query
 def field_prompts(spark, sf):
-    asked = V.dim_field_schema(spark).join(F.broadcast(reports.extract_prompts(V.dim_field_schema(spark))), "doc_type")
-    return asked.select("doc_type", "key", "prompt", reports.field_prompt(F.col("doc_type"), F.col("key")).alias("again"), reports.field_prompt(F.col("doc_type"), F.col("key"), True).alias("crop"), F.lit(reports.classify_prompt()).alias("classify"))
+    """What a model is asked for each document and field, the forms by turns over the orders."""
+    forms = D.documents(spark, sf).select("id", _pick(TYPES, F.col("id")).alias("doc_type"))
+    asked = V.dim_field_schema(spark).join(F.broadcast(reports.extract_prompts(V.dim_field_schema(spark))), "doc_type")  # fixed tables
+    rows = forms.join(F.broadcast(asked), "doc_type")
+    return rows.select("id", "doc_type", "key", "prompt", reports.field_prompt(F.col("doc_type"), F.col("key")).alias("again"), reports.field_prompt(F.col("doc_type"), F.col("key"), True).alias("crop"))
+
+
+SQL["field_prompts"] = """WITH s AS (SELECT * FROM (VALUES ('W-2', ['employee_name', 'ssn', 'employer', 'box1_wages', 'box2_fed_withheld']), ('K-1', ['partnership_name', 'partner_name', 'partnership_ein', 'ordinary_income']), ('1098', ['lender', 'borrower_name', 'box1_mortgage_interest'])) AS t(doc_type, keys)),
+  d AS (SELECT o_orderkey AS id, (['W-2', 'K-1', '1098'])[CAST(o_orderkey % 3 AS INT) + 1] AS doc_type FROM orders), r AS (SELECT id, doc_type, keys, unnest(keys) AS key FROM d JOIN s USING (doc_type))
+  SELECT id, doc_type, key, 'This is a ' || doc_type || ' form. Return its values as printed, in JSON only: {' || array_to_string(list_transform(keys, lambda k: '"' || k || '": "..."'), ', ') || '}. A field that is not there is "".' AS prompt,
+  'This is a ' || doc_type || ' form. Read only ' || key || ', not its label. Answer in JSON only: {"value": "..."}, with the value as printed, or "" if it is not there.' AS again,
+  'This is a part of a ' || doc_type || ' form. Read only ' || key || ', not its label. Answer in JSON only: {"value": "..."}, with the value as printed, or "" if it is not there.' AS crop FROM r"""
 
 
 @query

@@ -143,6 +143,22 @@ def read_folder(spark: SparkSession, path: str, extensions: list[str] | None = N
     return listed.where(C.is_eligible(F.col("name"), extensions or V.UPLOAD_EXTENSIONS + [".pdf"]))
 
 
+def read_test_images(spark: SparkSession, path: str, extensions: list[str] | None = None) -> DataFrame:
+    """``read_folder`` for an evaluation: an error if the folder has no eligible file."""
+    found = read_folder(spark, path, extensions)
+    if found.drop("content").isEmpty():
+        raise FileNotFoundError(f"no images in {path}")
+    return found
+
+
+def image_at(spark: SparkSession, path: str) -> DataFrame:
+    """name, length, modified, content of the file at ``path``, no row if it isn't there or isn't eligible."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(held):
+        return spark.createDataFrame([], "name string, length bigint, modified timestamp, content binary")
+    return read_folder(spark, path)
+
+
 def read_client_csv(spark: SparkSession, path: str) -> DataFrame:
     """seq, name, expected_docs (null for the template's), blank; a header row of known names is skipped.
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import fields as C
+from paperloom.sources import readers
 from paperloom.streaming import inbox
 
 PNG = bytes.fromhex("89504e470d0a1a0a")
@@ -142,3 +143,16 @@ def test_steps_in_batch_and_in_a_stream(spark, tmp_path):
         q = inbox.live_steps(spark.readStream.schema(schema).parquet(str(tmp_path / "looks"))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start(str(tmp_path / "out"))
         assert q.awaitTermination(30)
     assert sorted((r.poll, r.name, r.step) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == plain_steps(looks)
+
+
+def test_images_by_folder_and_path(spark, tmp_path):
+    (tmp_path / "some").mkdir()
+    (tmp_path / "some/a.png").write_bytes(PNG)
+    (tmp_path / "some/b.txt").write_bytes(b"x")
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/b.txt").write_bytes(b"x")
+    assert [r.name for r in readers.read_test_images(spark, str(tmp_path / "some")).collect()] == ["a.png"]
+    with pytest.raises(FileNotFoundError):
+        readers.read_test_images(spark, str(tmp_path / "none"))
+    assert [bytes(r.content) for r in readers.image_at(spark, str(tmp_path / "some/a.png")).collect()] == [PNG]
+    assert readers.image_at(spark, str(tmp_path / "some/gone.png")).count() == 0

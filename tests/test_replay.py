@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import tables as V
-from paperloom.operators import carry, dedup, replay
+from paperloom.operators import carry, dedup, mutations, replay
 from paperloom.streaming import inbox
 
 
@@ -118,3 +118,36 @@ def test_one_content_and_one_name(spark):
     assert got == [(k, k - 1 if k else None) for k in range(3000)]
     looks = spark.range(500).select(F.col("id").alias("poll"), F.lit("f").alias("name"), F.floor(F.col("id") / 100).alias("size"), F.lit(0).alias("mtime"))
     assert sum(x.stable for x in inbox.stable(looks, 5).collect()) == 495
+
+
+def minted(names, taken):
+    """One by one, the search going on where the base's last one ended."""
+    import re
+
+    used, after, out = set(taken), {}, []
+    for seq, name in sorted(names):
+        base = "client_" + (re.sub("[^a-z0-9]+", "_", name.lower()).strip("_") or "client")
+        got, k = base, after.get(base, 2)
+        while got in used:
+            got, k = f"{base}_{k}", k + 1
+        after[base] = k
+        used.add(got)
+        out.append((seq, got))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_minted_ids_with_rivals(spark, seed):
+    r = random.Random(seed)
+    words = ["Ann"] * 6 + [f"Ann {k}" for k in range(1, 14)] + ["Ann 2 2", "Ann 2 3", "Ann 3 2", "Ann 02", "Bob", "Bob 2", "", "client 2"]
+    names = [(3 * k, r.choice(words)) for k in range(150)]
+    taken = r.sample([f"client_ann_{k}" for k in range(2, 30)] + ["client_ann", "client_ann_2_2", "client_ann_2_3", "client_bob_2", "client_client", "other"], 12)
+    got = mutations.mint_client_ids(spark.createDataFrame(names, "seq bigint, name string").repartition(3), spark.createDataFrame([(x,) for x in taken], "id string"), blocks=[None, 4][seed])
+    assert sorted(map(tuple, got.collect())) == minted(names, taken)
+
+
+def test_many_names_of_one_stem(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("seq"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("Ann "), (F.col("id") / 7).cast("int").cast("string"))).otherwise("Ann").alias("name"))
+    taken = spark.range(5000).select(F.concat(F.lit("client_ann_"), (F.col("id") * 3 + 2).cast("string")).alias("id"))
+    got = sorted(map(tuple, mutations.mint_client_ids(rows, taken, blocks=6).collect()))
+    assert got == minted([tuple(x) for x in rows.collect()], [x.id for x in taken.collect()])
