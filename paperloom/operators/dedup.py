@@ -103,14 +103,13 @@ def _few(prints: DataFrame, k: int) -> DataFrame:
 def closest_by_label(prints: DataFrame, k: int = 6, bits: int = 64, wide: bool = False, told: dict | None = None) -> DataFrame:
     """same_label, rank, seq, cand, distance: the k closest of all pairs of equal and of different labels.
 
-    Exact, by rings of blocks of bits (``closest``); ``wide`` fingerprints are arrays of four words.
+    Exact, by rings of blocks of bits or all pairs in squares (``closest``); ``wide`` fingerprints are arrays of four words.
     """
     value, distance = (C.wide_band, C.wide_hamming) if wide else (lambda fp, i, m: band(fp, i, m, bits), C.hamming)
     few, made = _few(prints, k), []
     for same in (True, False):
-        on = F.col("x_label").eqNullSafe(F.col("y_label"))
         seen: dict = {}
-        found = closest(few, k, WIDE_BITS if wide else bits, value, distance, on if same else ~on, seen)
+        found = closest(few, k, WIDE_BITS if wide else bits, value, distance, F.col("fp") if wide else F.array("fp"), same, seen)
         made += [(same, n + 1, seq, cand, far) for n, (far, seq, cand) in enumerate(found)]
         if told is not None:
             told[same] = seen

@@ -75,3 +75,26 @@ def test_wide_floors_far_apart(spark):
     want = {same: min((x ^ y).bit_count() for a, x, la in rows for b, y, lb in rows if b < a and (la == lb) == same) for same in (True, False)}
     d = spark.createDataFrame([(k, [low(x >> (64 * w) & (1 << 64) - 1) for w in range(4)], label) for k, x, label in rows], "seq bigint, fp array<bigint>, label int")
     assert {x.same_label: x.floor for x in dedup.wide_floor(d).collect()} == want and want[False] > 80
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_far_prints_are_compared_in_squares(spark, monkeypatch, wide):
+    """Random prints, for which rings reach more rows than there are pairs: all pairs, in bounded tasks, ties and null labels too."""
+    import numpy as np
+    from paperloom.operators import closest
+
+    monkeypatch.setattr(closest, "SIDE", 300)
+    monkeypatch.setattr(closest, "TILE", 1 << 14)
+    r = np.random.default_rng(3)
+    words = r.integers(0, 1 << 64, (1500, 4), np.uint64).view(np.int64)
+    labels = [None if x == 0 else x for x in r.integers(0, 4, 1500).tolist()]
+    rows = [(k, w if wide else w[0], label) for k, (w, label) in enumerate(zip(words.tolist(), labels, strict=True))]
+    d = spark.createDataFrame(rows, f"seq bigint, fp {'array<bigint>' if wide else 'bigint'}, label int")
+    some = words.view(np.uint64)[:, : 4 if wide else 1]
+    want = []
+    for same in (True, False):
+        far = np.array([(int(np.bitwise_count(some[a] ^ some[b]).sum()), a, b) for a in range(1500) for b in range(a) if (labels[a] == labels[b]) == same])
+        want += [(same, k + 1, *x) for k, x in enumerate(far[np.lexsort(far.T[::-1])[:6]].tolist())]
+    told = {}
+    assert sorted(((x.same_label, x["rank"], x.seq, x.cand, x.distance) for x in dedup.closest_by_label(d, wide=wide, told=told).collect()), key=lambda x: (not x[0], x[1])) == [(same, k, a, b, n) for same, k, n, a, b in want]
+    assert not wide or told[True]["whole"] and told[False]["whole"]
