@@ -92,9 +92,10 @@ def replay(docs: DataFrame, log: DataFrame, blocks: int | None = None) -> Replay
     """Replays ``log`` over ``docs`` (id, status, doc_type, client_id, duplicate_of)."""
     action = F.col("action")
     first = docs.select(F.col("id").alias("doc_id"), F.col("status").alias("status0"), F.col("doc_type").alias("type0"), F.col("client_id").alias("client0"), F.col("duplicate_of").alias("flag0"), F.lit(True).alias("there"))
+    gone = log.where(action == "discard").groupBy("doc_id").agg(F.min("seq").alias("flag_gone"))
+    first = joined_spread(first, gone, "flag0", "doc_id", "doc_id")
+    # the flags' targets are looked up before the log is met: one row a document
     own = log.select("seq", "doc_id", "action", "doc_type", "client_id").join(first, "doc_id", "left")
-    gone = own.where((action == "discard") & F.col("there")).groupBy(F.col("doc_id").alias("flag0")).agg(F.min("seq").alias("flag_gone"))
-    own = own.join(gone, "flag0", "left")
     typed, filed = (action == "confirm") & F.coalesce(F.col("doc_type") != "", F.lit(False)), (action == "confirm") & F.col("client_id").isNotNull()
     met = last_before(own, ["doc_id"], "seq", {
         "gone": F.when(action == "discard", True), "turn": F.when(action.isin("confirm", "reopen"), action), "ever": F.when(action == "confirm", True),

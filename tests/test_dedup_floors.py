@@ -98,3 +98,14 @@ def test_far_prints_are_compared_in_squares(spark, monkeypatch, wide):
     told = {}
     assert sorted(((x.same_label, x["rank"], x.seq, x.cand, x.distance) for x in dedup.closest_by_label(d, wide=wide, told=told).collect()), key=lambda x: (not x[0], x[1])) == [(same, k, a, b, n) for same, k, n, a, b in want]
     assert not wide or told[True]["whole"] and told[False]["whole"]
+
+
+def test_ring_joins_have_tasks_by_their_rows(spark, monkeypatch):
+    """Flipped rows are dealt over as many tasks as they are worth, whatever the session's shuffle partitions."""
+    from paperloom.operators import closest
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(closest, "RING_ROWS", 100)
+    d = spark.createDataFrame([(k, [k % 16, k // 16]) for k in range(256)], "seq bigint, values array<bigint>")
+    met = closest._rings(d, [(0, 4, 1), (1, 4, 1)], F.lit(True), 2048)
+    assert met.count() == 16384 and met.rdd.getNumPartitions() >= 21
