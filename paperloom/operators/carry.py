@@ -75,3 +75,13 @@ def running_sum(rows: DataFrame, keys: list[str], order: str, value: Column, nam
     sums = cut.groupBy(*keys, BLOCK).agg(F.sum(value).alias("__sum"))
     heads = sums.select(*keys, BLOCK, F.sum("__sum").over(W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)).alias("__head"))
     return _headed(inner, heads, keys).select(*rows.columns, (F.col("__in") + F.coalesce("__head", F.lit(0))).alias(name))
+
+
+def left_spread(rows: DataFrame, found: DataFrame, key: str, target: str, tie: str) -> DataFrame:
+    """``rows`` left joined with ``found`` where ``key`` is ``target``; ``tie`` deals out the rows without a key.
+
+    Such rows meet nothing, but a plain left join has them all in one task.
+    """
+    rows = rows.withColumn("__key", F.struct(F.col(key).alias("key"), F.when(F.col(key).isNull(), F.xxhash64(tie)).alias("spread")))
+    found = found.where(F.col(target).isNotNull()).withColumn("__target", F.struct(F.col(target).alias("key"), F.lit(None).cast("bigint").alias("spread")))
+    return rows.join(found, F.col("__key") == F.col("__target"), "left").drop("__key", "__target")

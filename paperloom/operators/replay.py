@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import tables as V
-from paperloom.operators.carry import last_before, running_sum
+from paperloom.operators.carry import last_before, left_spread, running_sum
 
 ACTIONS = ("confirm", "reopen", "discard", "resolve")
 #: What the event log calls a change that was made.
@@ -53,7 +53,8 @@ class Replay:
         last = done.groupBy(F.col("doc_id").alias("k")).agg(
             F.max_by(F.struct("status_after", "type_after", "client_after"), "seq").alias("s"), F.bool_or(F.col("action") == "discard").alias("gone"), F.bool_or(F.col("action") == "resolve").alias("kept"))
         gone = done.where("action = 'discard'").select(F.col("doc_id").alias("target")).distinct()
-        joined = self.docs.join(last, F.col("id") == F.col("k"), "left").where("NOT coalesce(gone, false)").join(gone, F.col("duplicate_of") == F.col("target"), "left")
+        joined = self.docs.join(last, F.col("id") == F.col("k"), "left").where("NOT coalesce(gone, false)")
+        joined = left_spread(joined, gone, "duplicate_of", "target", "id")
         met = F.col("s").isNotNull()
         new = {"status": F.when(met, F.col("s.status_after")).otherwise(F.col("status")), "doc_type": F.when(met, F.col("s.type_after")).otherwise(F.col("doc_type")),
                "client_id": F.when(met, F.col("s.client_after")).otherwise(F.col("client_id")), "duplicate_of": F.when(F.col("target").isNull() & ~F.coalesce("kept", F.lit(False)), F.col("duplicate_of"))}
@@ -92,9 +93,9 @@ def replay(docs: DataFrame, log: DataFrame, blocks: int | None = None) -> Replay
     """Replays ``log`` over ``docs`` (id, status, doc_type, client_id, duplicate_of)."""
     action = F.col("action")
     first = docs.select(F.col("id").alias("doc_id"), F.col("status").alias("status0"), F.col("doc_type").alias("type0"), F.col("client_id").alias("client0"), F.col("duplicate_of").alias("flag0"), F.lit(True).alias("there"))
-    gone = log.where(action == "discard").groupBy("doc_id").agg(F.min("seq").alias("flag_gone"))
-    first = joined_spread(first, gone, "flag0", "doc_id", "doc_id")
-    # the flags' targets are looked up before the log is met: one row a document
+    # the flags' targets are looked up before the log is met: one row a document, most of them without a flag
+    gone = log.where(action == "discard").groupBy(F.col("doc_id").alias("target")).agg(F.min("seq").alias("flag_gone")).join(docs.select(F.col("id").alias("target")), "target", "left_semi")
+    first = left_spread(first, gone, "flag0", "target", "doc_id")
     own = log.select("seq", "doc_id", "action", "doc_type", "client_id").join(first, "doc_id", "left")
     typed, filed = (action == "confirm") & F.coalesce(F.col("doc_type") != "", F.lit(False)), (action == "confirm") & F.col("client_id").isNotNull()
     met = last_before(own, ["doc_id"], "seq", {

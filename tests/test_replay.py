@@ -151,3 +151,27 @@ def test_many_names_of_one_stem(spark):
     taken = spark.range(5000).select(F.concat(F.lit("client_ann_"), (F.col("id") * 3 + 2).cast("string")).alias("id"))
     got = sorted(map(tuple, mutations.mint_client_ids(rows, taken, blocks=6).collect()))
     assert got == minted([tuple(x) for x in rows.collect()], [x.id for x in taken.collect()])
+
+
+def test_documents_without_a_flag_are_dealt_out(spark):
+    """Most documents have no flag: they don't meet in one task on the way to the flags' targets."""
+    from pyspark.sql import functions as F
+
+    n = 4000
+    docs = spark.range(n).select("id", F.lit("extracted").alias("status"), F.lit("w2").alias("doc_type"), F.lit(1).cast("bigint").alias("client_id"), F.when(F.col("id") % 100 == 0, F.col("id") + 1).alias("duplicate_of"))
+    log = spark.range(n).select("id", F.when(F.col("id") < n - 10, F.col("id")).otherwise(-F.col("id")).alias("doc_id")).select(F.col("id").alias("seq"), "doc_id", F.when(F.col("id") % 2 == 1, "discard").otherwise("confirm").alias("action"), F.lit(None).cast("string").alias("doc_type"), F.lit(None).cast("bigint").alias("client_id"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        targets = docs.where("id % 7 = 0").select(F.col("id").alias("target"))
+        met = carry.left_spread(docs, targets, "duplicate_of", "target", "id")
+        sizes = met.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert met.count() == n and sizes.max() < n / 2
+        assert met.where("target IS NOT NULL").count() == len([k for k in range(0, n, 100) if (k + 1) % 7 == 0])
+        left = {r.id: r.duplicate_of for r in replay.replay(docs, log).documents().collect()}
+        want = {k: None if k % 100 or k + 1 < n - 10 else k + 1 for k in range(n) if k % 2 == 0 or k >= n - 10}
+        assert left == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
