@@ -30,6 +30,11 @@ def _bounds(rows: DataFrame, order: str, blocks: int | None) -> list:
     return sorted({*found})
 
 
+def bounds_for(rows: DataFrame, order: str, blocks: int | None = None) -> list:
+    """Bounds for carries along ``rows`` or what is made of them, for callers that know cheaper rows with the same orders."""
+    return _bounds(rows, order, blocks)
+
+
 def block_of(order: Column, bounds: list) -> Column:
     """How many bounds an order has reached, by halving."""
 
@@ -51,9 +56,9 @@ def _headed(inner: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
     return inner.join(named, on, "left")
 
 
-def last_before(rows: DataFrame, keys: list[str], order: str, values: dict[str, Column], blocks: int | None = None) -> DataFrame:
+def last_before(rows: DataFrame, keys: list[str], order: str, values: dict[str, Column], blocks: int | None = None, bounds: list | None = None) -> DataFrame:
     """``rows`` with, for each of ``values``, its last value that isn't null in earlier rows of the same keys."""
-    bounds = _bounds(rows, order, blocks)
+    bounds = _bounds(rows, order, blocks) if bounds is None else bounds
     before = W.partitionBy(*keys, *([BLOCK] if bounds else [])).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     if not bounds:
         return rows.withColumns({n: F.last(v, ignorenulls=True).over(before) for n, v in values.items()})
@@ -65,9 +70,9 @@ def last_before(rows: DataFrame, keys: list[str], order: str, values: dict[str,
     return _headed(inner, heads, keys).select(*rows.columns, *[F.coalesce(f"__in_{n}", f"__head_{n}").alias(n) for n in values])
 
 
-def running_sum(rows: DataFrame, keys: list[str], order: str, value: Column, name: str, blocks: int | None = None) -> DataFrame:
+def running_sum(rows: DataFrame, keys: list[str], order: str, value: Column, name: str, blocks: int | None = None, bounds: list | None = None) -> DataFrame:
     """``rows`` with ``name``: the sum of ``value`` over rows of the same keys up to the row itself."""
-    bounds = _bounds(rows, order, blocks)
+    bounds = _bounds(rows, order, blocks) if bounds is None else bounds
     if not bounds:
         return rows.withColumn(name, F.sum(value).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
     cut = rows.withColumn(BLOCK, block_of(F.col(order), bounds))

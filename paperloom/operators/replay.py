@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import tables as V
-from paperloom.operators.carry import last_before, left_spread, running_sum
+from paperloom.operators.carry import bounds_for, last_before, left_spread, running_sum
 
 ACTIONS = ("confirm", "reopen", "discard", "resolve")
 #: What the event log calls a change that was made.
@@ -26,10 +26,14 @@ EVENTS = {"confirm": "confirmed", "reopen": "unconfirmed", "discard": "deleted",
 
 @dataclass(frozen=True)
 class Replay:
-    """``steps``: each log row with outcome and the document's state before and after it."""
+    """``steps``: each log row with outcome and the document's state before and after it.
+
+    ``gone``: target, the discarded documents.
+    """
 
     docs: DataFrame
     steps: DataFrame
+    gone: DataFrame
     blocks: int | None
 
     def results(self) -> DataFrame:
@@ -52,9 +56,8 @@ class Replay:
         done = self.steps.where("outcome = 'done'")
         last = done.groupBy(F.col("doc_id").alias("k")).agg(
             F.max_by(F.struct("status_after", "type_after", "client_after"), "seq").alias("s"), F.bool_or(F.col("action") == "discard").alias("gone"), F.bool_or(F.col("action") == "resolve").alias("kept"))
-        gone = done.where("action = 'discard'").select(F.col("doc_id").alias("target")).distinct()
         joined = self.docs.join(last, F.col("id") == F.col("k"), "left").where("NOT coalesce(gone, false)")
-        joined = left_spread(joined, gone, "duplicate_of", "target", "id")
+        joined = left_spread(joined, self.gone, "duplicate_of", "target", "id")
         met = F.col("s").isNotNull()
         new = {"status": F.when(met, F.col("s.status_after")).otherwise(F.col("status")), "doc_type": F.when(met, F.col("s.type_after")).otherwise(F.col("doc_type")),
                "client_id": F.when(met, F.col("s.client_after")).otherwise(F.col("client_id")), "duplicate_of": F.when(F.col("target").isNull() & ~F.coalesce("kept", F.lit(False)), F.col("duplicate_of"))}
@@ -91,7 +94,7 @@ class Replay:
 
 def replay(docs: DataFrame, log: DataFrame, blocks: int | None = None) -> Replay:
     """Replays ``log`` over ``docs`` (id, status, doc_type, client_id, duplicate_of)."""
-    action = F.col("action")
+    action, bounds = F.col("action"), bounds_for(log, "seq", blocks)  # of the log itself: nothing is joined or replayed for them
     first = docs.select(F.col("id").alias("doc_id"), F.col("status").alias("status0"), F.col("doc_type").alias("type0"), F.col("client_id").alias("client0"), F.col("duplicate_of").alias("flag0"), F.lit(True).alias("there"))
     # the flags' targets are looked up before the log is met: one row a document, most of them without a flag
     gone = log.where(action == "discard").groupBy(F.col("doc_id").alias("target")).agg(F.min("seq").alias("flag_gone")).join(docs.select(F.col("id").alias("target")), "target", "left_semi")
@@ -100,7 +103,7 @@ def replay(docs: DataFrame, log: DataFrame, blocks: int | None = None) -> Replay
     typed, filed = (action == "confirm") & F.coalesce(F.col("doc_type") != "", F.lit(False)), (action == "confirm") & F.col("client_id").isNotNull()
     met = last_before(own, ["doc_id"], "seq", {
         "gone": F.when(action == "discard", True), "turn": F.when(action.isin("confirm", "reopen"), action), "ever": F.when(action == "confirm", True),
-        "type_last": F.when(typed, F.col("doc_type")), "client_last": F.when(filed, F.col("client_id")), "kept": F.when(action == "resolve", True)}, blocks)
+        "type_last": F.when(typed, F.col("doc_type")), "client_last": F.when(filed, F.col("client_id")), "kept": F.when(action == "resolve", True)}, bounds=bounds)
     confirmed = F.coalesce(F.col("turn") == "confirm", F.col("status0") == "confirmed", F.lit(False))
     reopened = F.coalesce(F.col("turn") == "reopen", F.lit(False)) & (F.coalesce("ever", F.lit(False)) | F.coalesce(F.col("status0") == "confirmed", F.lit(False)))
     flagged = F.col("flag0").isNotNull() & F.col("kept").isNull() & ~F.coalesce(F.col("flag_gone") < F.col("seq"), F.lit(False))
@@ -112,4 +115,4 @@ def replay(docs: DataFrame, log: DataFrame, blocks: int | None = None) -> Replay
         "seq", "doc_id", "action", "doc_type", outcome.alias("outcome"), status.alias("status_before"), kind.alias("type_before"), client.alias("client_before"),
         F.when(action == "confirm", "confirmed").when(action == "reopen", "extracted").when(action == "discard", F.lit(None)).otherwise(status).alias("status_after"),
         F.when(typed, F.col("doc_type")).otherwise(kind).alias("type_after"), F.when(filed, F.col("client_id")).otherwise(client).alias("client_after"))
-    return Replay(docs, steps, blocks)
+    return Replay(docs, steps, gone.select("target"), blocks)  # a first discard of a document that is there is always done

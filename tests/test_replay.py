@@ -175,3 +175,42 @@ def test_documents_without_a_flag_are_dealt_out(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def most_read(spark, df, least):
+    """Rows that the largest task reads, over all rows, in the stages that read ``least`` rows or more; the worst stage."""
+    sc, group = spark.sparkContext, f"read {id(df)}"
+    sc.setJobGroup(group, group)
+    df.write.format("noop").mode("overwrite").save()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    store, worst = sc._jsc.sc().statusStore(), 0
+    for stage in {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}:
+        tasks = store.taskList(stage, 0, 1000)
+        rows = [tasks.apply(k).taskMetrics().get().shuffleReadMetrics().recordsRead() for k in range(tasks.size())]
+        if sum(rows) >= least:
+            worst = max(worst, max(rows) / sum(rows))
+    return worst
+
+
+@pytest.fixture
+def dealt(spark):
+    """A replay of 8,000 changes over 4,000 documents, one in a hundred with a flag, in 8 tasks that nothing joins or cuts up."""
+    n = 4000
+    docs = spark.range(n).select("id", F.lit("extracted").alias("status"), F.lit("w2").alias("doc_type"), (F.col("id") % 50).alias("client_id"), F.when(F.col("id") % 100 == 0, F.col("id") + 1).alias("duplicate_of"))
+    log = spark.range(2 * n).select(F.col("id").alias("seq"), (F.col("id") % n).alias("doc_id"), F.when(F.col("id") < n, "confirm").when(F.col("id") % 4 == 1, "discard").otherwise("reopen").alias("action"), F.lit(None).cast("string").alias("doc_type"), F.lit(None).cast("bigint").alias("client_id"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield docs, log
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_no_task_reads_most_of_the_documents(spark, dealt):
+    docs, log = dealt
+    made = replay.replay(docs, log, blocks=3).documents()
+    assert most_read(spark, made, 3000) < 0.4
+    assert {x.id: x.duplicate_of for x in made.collect()} == {k: None for k in range(4000) if k % 4 != 1}
+    assert made._jdf.queryExecution().executedPlan().toString().count("Window [") == 2  # rows and heads of one replay
