@@ -28,13 +28,13 @@ EVENTS = {"confirm": "confirmed", "reopen": "unconfirmed", "discard": "deleted",
 class Replay:
     """``steps``: each log row with outcome and the document's state before and after it.
 
-    ``gone``: target, the discarded documents.
+    ``gone``: target, the discarded documents. ``bounds``: the log's blocks (``carry``).
     """
 
     docs: DataFrame
     steps: DataFrame
     gone: DataFrame
-    blocks: int | None
+    bounds: list
 
     def results(self) -> DataFrame:
         """seq, doc_id, action, outcome."""
@@ -80,7 +80,7 @@ class Replay:
         first = self.docs.where("status = 'confirmed'").groupBy(F.col("client_id").alias("client"), F.col("doc_type").alias("type")).agg(F.count("*").alias("n"))
         first = first.select("client", "type", F.lit(None).cast("bigint").alias("seq"), "n", F.lit(False).alias("off"), F.lit(False).alias("on"))
         some = F.col("type").isNotNull() & F.col("client").isNotNull() & ~F.col("type").isin("", V.UNRECOGNIZED)
-        counted = running_sum(moves.unionByName(first).where(some), ["client", "type"], "seq", F.col("n"), "left", self.blocks)
+        counted = running_sum(moves.unionByName(first).where(some), ["client", "type"], "seq", F.col("n"), "left", bounds=self.bounds)
         off = counted.where("off AND left = 0").groupBy("client", "type").agg(F.max("seq").alias("off_at"))
         on = counted.where("on").join(off, ["client", "type"], "left").where("off_at IS NULL OR seq > off_at").groupBy("client", "type").agg(F.min("seq").alias("on_at"))
         told = off.join(on, ["client", "type"], "full").select(F.col("client").alias("id"), "type", "off_at", "on_at")
@@ -115,4 +115,4 @@ def replay(docs: DataFrame, log: DataFrame, blocks: int | None = None) -> Replay
         "seq", "doc_id", "action", "doc_type", outcome.alias("outcome"), status.alias("status_before"), kind.alias("type_before"), client.alias("client_before"),
         F.when(action == "confirm", "confirmed").when(action == "reopen", "extracted").when(action == "discard", F.lit(None)).otherwise(status).alias("status_after"),
         F.when(typed, F.col("doc_type")).otherwise(kind).alias("type_after"), F.when(filed, F.col("client_id")).otherwise(client).alias("client_after"))
-    return Replay(docs, steps, gone.select("target"), blocks)  # a first discard of a document that is there is always done
+    return Replay(docs, steps, gone.select("target"), bounds)  # a first discard of a document that is there is always done

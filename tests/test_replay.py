@@ -214,3 +214,11 @@ def test_no_task_reads_most_of_the_documents(spark, dealt):
     assert most_read(spark, made, 3000) < 0.4
     assert {x.id: x.duplicate_of for x in made.collect()} == {k: None for k in range(4000) if k % 4 != 1}
     assert made._jdf.queryExecution().executedPlan().toString().count("Window [") == 2  # rows and heads of one replay
+
+
+def test_no_task_reads_most_of_the_moves(spark, dealt):
+    docs, log = dealt
+    lists = spark.range(50).select("id", F.array(F.lit("w2")).alias("received_docs"))
+    made = replay.replay(docs, log, blocks=3).received(lists)
+    assert most_read(spark, made, 3000) < 0.4
+    assert {x.id: x.received_docs for x in made.collect()} == {k: [] for k in range(50)}
